@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, arrow_schema, materialise, mix, release, to_batch
-from .components import connected_components
+from .components import components_of_ids
 
 _WORDS = WordHashes()
 _GOLDEN, _STEP, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
@@ -55,6 +55,34 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / (low[both] / v[both] + high[both] / w[both])).sum())
 
 
+class Sets:
+    """Several weighted sets, laid end to end, to be compared with one at a time."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        sizes = np.array([len(x[0]) for x in sets], np.int64)
+        self.owner, self.sizes = np.repeat(np.arange(len(sets)), sizes), sizes
+        self.keys, self.weights = np.concatenate([x[0] for x in sets]), np.concatenate([x[1] for x in sets])
+        self.totals = np.bincount(self.owner, self.weights, len(sets))
+        self.plain = bool((self.weights == 1).all())
+
+    def similarities(self, one: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """:func:`similarity` of ``one`` with each set, from the common elements alone; no set is empty."""
+        at = np.minimum(np.searchsorted(one[0], self.keys), len(one[0]) - 1)
+        hit = np.flatnonzero(one[0][at] == self.keys)
+        owner, n = self.owner[hit], len(self.sizes)
+        if self.plain and (one[1] == 1).all():
+            common = np.bincount(owner, minlength=n)
+            return common / (self.sizes + len(one[0]) - common)
+        v, w = one[1][at[hit]], self.weights[hit]
+        order = np.lexsort((w / v, owner))
+        owner, v, w = owner[order], v[order], w[order]
+        of_v, of_w = np.bincount(owner, v, n), np.bincount(owner, w, n)
+        upto_v, upto_w = np.cumsum(v), np.cumsum(w)
+        low = upto_v - (np.cumsum(of_v) - of_v)[owner] + (one[1].sum() - of_v)[owner]  # of v where w / v is no larger
+        high = self.totals[owner] - (upto_w - (np.cumsum(of_w) - of_w)[owner])  # of w where it is larger
+        return np.bincount(owner, 1 / (low / v + high / w), n)
+
+
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     """For each weighted set, the elements that arrive first in each of ``m`` registers; 0 for an empty set.
 
@@ -111,28 +139,100 @@ def _signed(documents: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
     return documents.select("doc_id", F.md5("text").alias("same"), "text").mapInArrow(run, schema)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach the threshold. One text meets at most FAN others in a task."""
-    counted = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("partners"))
-    spread = pairs.join(counted, "b").withColumn("share", F.pmod(F.xxhash64("a"), F.ceil(F.col("partners") / FAN))).drop("partners")
-    left = spread.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "share", "a", "text")
-    right = spread.select("b", "share").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "share", F.lit(None).cast("long").alias("a"), "text")
-    schema = "a long, b long, similarity double"
+_SET = "shingles binary, weights binary"
+
+
+def _load(shingles_: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(shingles_, "<u8")
+    return keys, np.ones(len(keys)) if weights is None else np.frombuffer(weights, "<u4").astype(float)
+
+
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(doc_id, shingles, weights): the weighted sets as bytes; weights are null where all are 1."""
+    schema = f"doc_id long, {_SET}"
     arrow = arrow_schema(schema)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = None
         for frame in frames:
+            for start in range(0, frame.num_rows, 200):
+                rows = []
+                for doc_id, text in zip(*(c[start : start + 200].to_pylist() for c in frame.columns), strict=True):
+                    keys, weights = shingles(text, n)
+                    rows.append((doc_id, keys.astype("<u8").tobytes(), None if (weights == 1).all() else weights.astype("<u4").tobytes()))
+                yield to_batch(rows, arrow)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _grouped(frames: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(first ``keys`` values, rows of the others) of runs of sorted rows, across batches."""
+    now, rows = None, []
+    for frame in frames:
+        for row in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+            if row[:keys] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield now, rows
+
+
+_LINK = "a long, b long, similarity double"
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that reach the threshold. One text meets about FAN others in a task."""
+    counted = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("partners"))
+    spread = pairs.join(counted, "b").withColumn("share", F.pmod(F.xxhash64("a"), F.ceil(F.col("partners") / FAN))).drop("partners")
+    left = spread.join(sets.withColumnRenamed("doc_id", "a"), "a").select("b", "share", "a", "shingles", "weights")
+    right = spread.select("b", "share").distinct().join(sets.withColumnRenamed("doc_id", "b"), "b").select("b", "share", F.lit(None).cast("long").alias("a"), "shingles", "weights")
+    arrow = arrow_schema(_LINK)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (b, _), rows in _grouped(frames, 2):
+            found = Sets([_load(*r[1:]) for r in rows[1:]]).similarities(_load(*rows[0][1:]))
+            yield to_batch([(rows[k + 1][0], b, float(found[k])) for k in np.flatnonzero(found >= threshold)], arrow)
+
+    together = right.unionByName(left).repartition("b", "share").sortWithinPartitions("b", "share", F.col("a").asc_nulls_first())
+    return together.mapInArrow(run, _LINK)
+
+
+def _verify_cross(open_: DataFrame, bands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between the classes of each bucket: what isn't in the largest class with what is in other classes than itself.
+
+    ``open_``: bucket, node, component, largest. Both sides are cut into blocks of FAN, each pair of blocks is a group of its
+    own, and a pair of texts counts in the first band that they share; the pairs never become rows.
+    """
+    full = open_.withColumn("stray", F.col("component") != F.col("largest"))
+    sizes = full.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("blocks"), F.ceil(F.count_if("stray") / FAN).alias("stray_blocks"))
+    placed = full.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    base = ["node", "component", "largest"]
+    members = placed.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stray_blocks") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), *base)
+    strays = placed.where("stray").select("bucket", F.pmod(F.xxhash64("node", F.lit(1)), F.col("stray_blocks")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), *base)
+    held = sets.join(bands, "doc_id").withColumnRenamed("doc_id", "node")
+    rows = strays.unionByName(members).join(held, "node").select("bucket", "i", "j", "side", "node", "component", "largest", "bands", "shingles", "weights")
+    arrow = arrow_schema(_LINK)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, _, _), rows in _grouped(frames, 3):
+            first, second = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+            if not first or not second:
+                continue
+            nodes, classes = np.array([r[1] for r in second]), np.array([r[2] for r in second])
+            both, sets_ = np.array([r[4] for r in second]), Sets([_load(*r[5:]) for r in second])
             found = []
-            for b, _, a, text in zip(*(c.to_pylist() for c in frame.columns), strict=True):
-                if a is None:
-                    pivot = shingles(text, n)
-                elif (s := similarity(shingles(text, n), pivot)) >= threshold:
-                    found.append((a, b, s))
+            for _, node, component, largest, own, *data in first:
+                own = np.array(own)
+                earlier = (both[:, : int(np.flatnonzero(own == bucket)[0])] == own[: int(np.flatnonzero(own == bucket)[0])]).any(axis=1)
+                ask = (classes != component) & ((classes == largest) | (nodes > node)) & ~earlier
+                if ask.any():
+                    s = sets_.similarities(_load(*data))
+                    found += [(node, int(nodes[k]), float(s[k])) for k in np.flatnonzero(ask & (s >= threshold))]
             yield to_batch(found, arrow)
 
-    together = right.unionByName(left).repartition("b", "share").sortWithinPartitions("b", "share", F.col("a").asc_nulls_first())
-    return together.mapInArrow(run, schema)
+    keys = ("bucket", "i", "j")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(run, _LINK)
 
 
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 30, rows: int = 6, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -159,16 +259,17 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
     chosen = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(turn)["pivot"].alias("pivot")).where("n > 1").drop("n")
     met = materialise(buckets.join(chosen, "bucket"), "buckets")
     involved = met.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialise(read.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "bucket-texts")
+    texts = read.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = materialise(_sets(texts, words), "bucket-sets")
 
     stars = met.where("node != pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     first = stars.withColumn("k", F.row_number().over(best)).where("k = 1").select("a", "b")
     tried = materialise(first, "pairs-1")
-    links = materialise(_verify(tried, texts, threshold, words), "links-1")
+    links = materialise(_verify(tried, sets, threshold), "links-1")
 
     def labels(found: DataFrame) -> DataFrame:
-        return materialise(connected_components(found.select("a", "b")), "near-components")
+        return materialise(components_of_ids(found.select("a", "b")), "near-components")
 
     def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """The pairs that no links connect yet and that weren't compared before."""
@@ -179,19 +280,16 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
     label = labels(links)
     second = materialise(apart(stars.select("a", "b"), label), "pairs-2")
     if not second.isEmpty():
-        links = links.unionByName(materialise(_verify(second, texts, threshold, words), "links-2"))
+        links = links.unionByName(materialise(_verify(second, sets, threshold), "links-2"))
         tried, label = tried.unionByName(second), labels(links)
 
     placed = met.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "component"))["component"].alias("largest")).where("classes > 1")
     open_ = materialise(placed.join(several.drop("classes"), "bucket"), "open-buckets")
-    strays = open_.where("component != largest").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    others = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), "largest")
-    cross = strays.join(others, "bucket").where("ca != cb and (cb = largest or a < b)").select("a", "b").distinct()
-    third = materialise(cross.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs-3")
-    if not third.isEmpty():
-        links = links.unionByName(materialise(_verify(third, texts, threshold, words), "links-3"))
+    if not open_.isEmpty():
+        third = _verify_cross(open_, nodes.select("doc_id", "bands"), sets, threshold)
+        links = links.unionByName(materialise(third, "links-3"))
         label = labels(links)
 
     release(open_)

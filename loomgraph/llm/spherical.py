@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, materialise, to_batch
-from .components import connected_components
+from .components import components_of_ids, least_reached
 
 #: Rows of a filter that one task compares with each other or with as many others.
 BLOCK = 1024
@@ -109,20 +109,6 @@ def _spread(vectors: DataFrame, make: dict, rows: int) -> DataFrame:
     return vectors.mapInArrow(run, schema)
 
 
-def _least(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Smallest row that each of n rows reaches by the pairs."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[pairs[0]], label[pairs[1]])
-        new = label.copy()
-        np.minimum.at(new, pairs[0], low)
-        np.minimum.at(new, pairs[1], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(nodes: np.ndarray, units: np.ndarray, filters: list[np.ndarray], copies: np.ndarray, side: np.ndarray, here: int, alone: bool, threshold: float) -> list[tuple]:
     """Rows (node, link count, smallest node reached) of one block (``alone``) or of two: pairs whose first common filter is ``here``."""
     first, second = (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
@@ -149,7 +135,7 @@ def _compare(nodes: np.ndarray, units: np.ndarray, filters: list[np.ndarray], co
     links = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
     order = np.argsort(nodes, kind="stable")
     rank = np.argsort(order, kind="stable")
-    label = order[_least(np.array([rank[i], rank[j]]), len(nodes))][rank]
+    label = order[least_reached(rank[i], rank[j], len(nodes))][rank]
     some = np.flatnonzero(links > 0)
     return [(int(nodes[k]), int(links[k]), int(nodes[label[k]])) for k in some]
 
@@ -216,7 +202,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float =
     nodes = materialise(nodes, "vectors")
     spread = materialise(_spread(nodes.select("node", "unit"), {"per_filter": per_filter, "hits": hits}, nodes.count()), "filters")
     found = materialise(_join(spread, nodes.select("node", "copies"), threshold), "vector-links")
-    label = connected_components(found.select("node", "least"))
+    label = components_of_ids(found.select("node", "least"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     told = nodes.join(links, "node", "left").join(label, "node", "left").select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     known = units.where("unit is not null and vec_id is not null").join(told, "unit").select("vec_id", "n_links", "component_id")
