@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_naming_style, is_private, naming_style, round_percent
 
-_N = F.count(F.lit(1))
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def top_counts(rows: DataFrame, key: str, top: int | None = None) -> DataFrame:
-    counted = rows.groupBy(key).agg(_N.alias("n")).orderBy(F.desc("n"), key)
+    counted = rows.groupBy(key).agg(_rows().alias("n")).orderBy(F.desc("n"), key)
     return counted if top is None else counted.limit(top)
 
 
@@ -24,7 +25,7 @@ def todo_hotspots(todos: DataFrame, top: int = 10) -> DataFrame:
 
 
 def todo_summary(todos: DataFrame, top: int = 10) -> dict[str, DataFrame]:
-    return {"total": todos.agg(_N.alias("total")), "by_kind": todo_by_kind(todos), "hottest_files": todo_hotspots(todos, top)}
+    return {"total": todos.agg(_rows().alias("total")), "by_kind": todo_by_kind(todos), "hottest_files": todo_hotspots(todos, top)}
 
 
 def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -32,13 +33,13 @@ def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     of = lambda kind: F.count_if(F.col("kind") == kind).alias(f"{kind}_count")
     ends = nodes.select("node_id").unionByName(edges.select(F.col("src").alias("node_id"))).unionByName(edges.select(F.col("dst").alias("node_id")))
     totals = nodes.agg(of("file"), of("class"), of("function"), of("type"), F.count_if((F.col("kind") == "file") & F.coalesce("is_test", F.lit(False))).alias("test_file_count"))
-    counts = edges.agg(_N.alias("edge_count")).join(ends.distinct().agg(_N.alias("node_count")), F.lit(True), "left")
+    counts = edges.agg(_rows().alias("edge_count")).join(ends.distinct().agg(_rows().alias("node_count")), F.lit(True), "left")
     return totals.join(counts, F.lit(True), "left")  # one row each
 
 
 def languages(nodes: DataFrame) -> DataFrame:
     """Files and lines by language."""
-    return nodes.where("kind = 'file' and coalesce(lang, '') != ''").groupBy("lang").agg(_N.alias("files"), F.sum(F.coalesce("line_count", F.lit(0))).alias("lines")).orderBy(F.desc("files"), "lang")
+    return nodes.where("kind = 'file' and coalesce(lang, '') != ''").groupBy("lang").agg(_rows().alias("files"), F.sum(F.coalesce("line_count", F.lit(0))).alias("lines")).orderBy(F.desc("files"), "lang")
 
 
 def primary_language(nodes: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def primary_language(nodes: DataFrame) -> DataFrame:
 
 def layer_sizes(nodes: DataFrame) -> DataFrame:
     layer = F.coalesce(F.when(F.col("layer") != "", F.col("layer")), F.lit("unknown"))
-    return nodes.where("kind = 'file'").groupBy(layer.alias("layer")).agg(_N.alias("files"))
+    return nodes.where("kind = 'file'").groupBy(layer.alias("layer")).agg(_rows().alias("files"))
 
 
 def layers(nodes: DataFrame, per_layer: int | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ def layers(nodes: DataFrame, per_layer: int | None = None) -> DataFrame:
 
 
 def styles(names: DataFrame, column: str, style: Column | None = None) -> DataFrame:
-    return names.groupBy((style if style is not None else naming_style(F.col(column))).alias("style")).agg(_N.alias("n"))
+    return names.groupBy((style if style is not None else naming_style(F.col(column))).alias("style")).agg(_rows().alias("n"))
 
 
 def dominant(histogram: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def function_names(nodes: DataFrame) -> DataFrame:
 def naming_report(nodes: DataFrame) -> dict[str, DataFrame]:
     functions, classes = styles(function_names(nodes), "name"), styles(nodes.where("kind = 'class'"), "name")
     files = styles(nodes.where("kind = 'file'"), "path", file_naming_style(F.col("path")))
-    private = nodes.where("kind = 'function'").agg(F.count_if(is_private(F.col("name"))).alias("private"), _N.alias("functions"))
+    private = nodes.where("kind = 'function'").agg(F.count_if(is_private(F.col("name"))).alias("private"), _rows().alias("functions"))
     return {"functions": functions, "classes": classes, "files": files, "dominant": dominant(functions), "private": private}
 
 
@@ -83,7 +84,7 @@ def doc_coverage(nodes: DataFrame, kinds: tuple[str, ...] = ("function", "class"
     """(kind, total, documented, pct), a row for each kind, zero where there is none."""
     pool = nodes.where(F.coalesce("is_exported", F.lit(False))) if exported_only else nodes
     every = nodes.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
-    counted = pool.where(F.col("kind").isin(*kinds)).groupBy("kind").agg(_N.alias("total"), F.count_if(F.coalesce("docstring", F.lit("")) != "").alias("documented"))
+    counted = pool.where(F.col("kind").isin(*kinds)).groupBy("kind").agg(_rows().alias("total"), F.count_if(F.coalesce("docstring", F.lit("")) != "").alias("documented"))
     full = every.join(counted, "kind", "left").select("kind", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("documented", F.lit(0)).alias("documented"))
     return full.withColumn("pct", round_percent(F.col("documented"), F.col("total")))
 
@@ -97,13 +98,13 @@ def pattern_counts(nodes: DataFrame) -> DataFrame:
     says = F.coalesce("signature", F.lit(""))
     counts = [F.count_if(F.coalesce(f, F.lit(False))).alias(f[3:] + "_count") for f in FLAGS]
     errors = [F.count_if(says.contains(word)).alias(f"{name}_returns") for name, word in (("result", "Result"), ("optional", "Optional"))]
-    totals = functions.agg(_N.alias("functions"), *counts, *errors)
+    totals = functions.agg(_rows().alias("functions"), *counts, *errors)
     return totals.select("*", *(round_percent(F.col(f[3:] + "_count"), F.col("functions")).alias(f[3:] + "_pct") for f in FLAGS))
 
 
 def class_patterns(nodes: DataFrame) -> DataFrame:
     flags = ("is_abstract", "is_dataclass")
-    totals = nodes.where("kind = 'class'").agg(_N.alias("classes"), *(F.count_if(F.coalesce(f, F.lit(False))).alias(f[3:] + "_count") for f in flags))
+    totals = nodes.where("kind = 'class'").agg(_rows().alias("classes"), *(F.count_if(F.coalesce(f, F.lit(False))).alias(f[3:] + "_count") for f in flags))
     return totals.select("*", *(round_percent(F.col(f[3:] + "_count"), F.col("classes")).alias(f[3:] + "_pct") for f in flags))
 
 
