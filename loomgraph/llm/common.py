@@ -49,6 +49,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+#: Ids up to this count, 16 bytes each, may be sent to every executor.
+BROADCAST_IDS = 2_000_000
+
+
+def having(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (one column, distinct, written down): these are broadcast if they are counted to be few.
+
+    Then the rows, which can hold whole texts, are not shuffled; beyond the bound they are.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
 def fold(column: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids count as fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n, F.lit(0))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialise, to_batch
+from .common import arrow_schema, having, materialise, to_batch
 
 
 def canonical(text: str) -> bytes:
@@ -82,8 +82,12 @@ def fingerprints(documents: DataFrame, id_column: str = "doc_id", text: str = "t
 
     read = _read(documents, id_column, text)
     own = materialise(read.mapInArrow(run, schema), "digests")
-    ids = lambda repeated: own.join(repeated, "digest", "left_semi").select("doc_id").distinct()
-    marked = settle(own, [("digest", "sha", "fingerprint")], lambda r: read.join(ids(r), "doc_id", "left_semi").select("text"), check)
+
+    def texts(repeated: DataFrame) -> DataFrame:
+        ids = materialise(own.join(repeated, "digest", "left_semi").select("doc_id").distinct(), "repeated-ids")
+        return having(read, ids, "doc_id").select("text")
+
+    marked = settle(own, [("digest", "sha", "fingerprint")], texts, check)
     groups = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
     return marked.join(groups, "fingerprint").select("doc_id", "n_chars", "fingerprint", "group_id", "copies")
 
@@ -152,12 +156,14 @@ def edit_sensitivity(documents: DataFrame, id_column: str = "doc_id", text: str
     out = found.where("task is null").select(*names).unionByName(ends.mapInArrow(join_ends, _EDIT))
 
     def texts(repeated: DataFrame) -> DataFrame:
-        own = out.join(repeated, "digest", "left_semi").select("doc_id").distinct()
-        changed = out.join(repeated.select(F.col("digest").alias("edited_digest")), "edited_digest", "left_semi").select("doc_id", "next_id").distinct()
-        half, tail = F.floor(F.length("text") / 2).cast("int"), read.select(F.col("doc_id").alias("next_id"), F.col("text").alias("tail"))
-        with_tail = changed.join(read, "doc_id").join(tail, "next_id")
+        own = materialise(out.join(repeated, "digest", "left_semi").select("doc_id").distinct(), "repeated-own")
+        changed = materialise(out.join(repeated.select(F.col("digest").alias("edited_digest")), "edited_digest", "left_semi").select("doc_id", "next_id").distinct(), "repeated-edited")
+        ids = materialise(changed.select("doc_id").union(changed.select("next_id")).distinct(), "repeated-parts")
+        parts = materialise(having(read, ids, "doc_id"), "repeated-texts")
+        half, tail = F.floor(F.length("text") / 2).cast("int"), parts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("tail"))
+        with_tail = changed.join(parts, "doc_id").join(tail, "next_id")
         both = with_tail.select(F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("tail", F.lit(1), half)).alias("text"))
-        return read.join(own, "doc_id", "left_semi").select("text").unionByName(both)
+        return having(read, own, "doc_id").select("text").unionByName(both)
 
     settled = settle(out, [("digest", "sha", "fingerprint"), ("edited_digest", "edited_sha", "edited_fingerprint")], texts)
     return settled.select("doc_id", "n_chars", "next_id", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

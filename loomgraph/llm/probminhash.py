@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_schema, materialise, mix, release, to_batch
+from .common import WordHashes, arrow_schema, having, materialise, mix, release, to_batch
 from .components import components_of_ids
 
 _WORDS = WordHashes()
@@ -258,8 +258,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
     turn = F.struct(F.xxhash64("node", "bucket").alias("turn"), F.col("node").alias("pivot"))
     chosen = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(turn)["pivot"].alias("pivot")).where("n > 1").drop("n")
     met = materialise(buckets.join(chosen, "bucket"), "buckets")
-    involved = met.select(F.col("node").alias("doc_id")).distinct()
-    texts = read.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    involved = materialise(met.select(F.col("node").alias("doc_id")).distinct(), "bucket-ids")
+    texts = having(read, involved, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = materialise(_sets(texts, words), "bucket-sets")
 
     stars = met.where("node != pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("n"))
