@@ -95,7 +95,7 @@ def notes(lines: DataFrame, newest: int | None = 10) -> DataFrame:
     extent = heads.withColumn("stop", F.coalesce(F.lead("pos").over(Window.orderBy("pos")), F.lit(1 << 60)))
     held = extent.join(lines.select(F.col("pos").alias("at"), "value"), (F.col("at") > F.col("pos")) & (F.col("at") < F.col("stop")), "left")
     bodies = held.groupBy("pos", "written", "category").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("l"))
-    told = bodies.select("pos", "written", "category", F.trim(F.concat_ws("\n", F.col("l.value"))).alias("body")).orderBy(F.desc("pos"))
+    told = bodies.select("pos", "written", "category", F.regexp_replace(F.concat_ws("\n", F.col("l.value")), r"^\s+|\s+$", "").alias("body")).orderBy(F.desc("pos"))
     return told if newest is None else told.limit(newest)
 
 
