@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, erfc, log10, sqrt
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +18,72 @@ from .components import components_of_ids, least_reached
 BLOCK = 1024
 
 
-def _tail(z: float) -> float:
-    """Share of a Gaussian above z."""
-    return 0.5 * erfc(z / sqrt(2))
+#: Share of the pairs at the threshold of which a filter has to hold both, and how many random pairs that share is computed with.
+RECALL, PAIRS = 0.99, 4000
 
 
-def rotations(rows: int) -> int:
-    """So many independent codes: 6, and 4 more for every tenfold of 50,000 vectors, as smaller caps hold a pair less often."""
-    return 6 + max(0, ceil(4 * log10(max(rows, 1) / 50_000)))
+def _caps(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles from 0 to pi, and the share of the sphere that is within each of a direction."""
+    angle = np.linspace(0, np.pi, 200_001)
+    if dim < 2:
+        return angle, np.where(angle < np.pi, 0.5, 1.0)
+    with np.errstate(divide="ignore"):
+        density = np.exp((dim - 2) * np.log(np.sin(angle))) if dim > 2 else np.ones_like(angle)
+    within = np.concatenate([[0.0], np.cumsum(density[1:] + density[:-1])])
+    return angle, within / within[-1]
+
+
+def cap_share(dim: int, cut: float) -> float:
+    """Share of random unit vectors whose inner product with a direction reaches ``cut``, exactly, not by a Gaussian."""
+    angle, within = _caps(dim)
+    return float(np.interp(np.arccos(cut), angle, within))
+
+
+def _pairs(dim: int, cosine: float, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and one for each at that cosine."""
+    x, y = rng.normal(size=(2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dim < 2:
+        return x, x
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What fixes the codes of vectors of one length: computed once, in the driver, so that all tasks have the same."""
+
+    dim: int
+    cut: float  # a direction counts if its inner product with the unit vector reaches it
+    size: int  # codewords of each half
+    rotations: int
+
+    @classmethod
+    def make(cls, dim: int, per_filter: float, hits: float, rows: int, threshold: float = 0.9, target: float = RECALL, seed: int = 12) -> Plan:
+        """Caps so large that each holds ``per_filter`` of ``rows`` random vectors, so many that each vector has ``hits`` a rotation,
+        and so many rotations that a share ``target`` of the pairs at the ``threshold`` has a filter in common.
+
+        Rotations are independent, so what one of them misses, it misses to the power of their number. What one finds is counted on
+        random pairs under codes of their own, less three standard errors. Caps that are too small to hold such a pair are doubled.
+        """
+        threshold = min(max(threshold, -0.999), 1 - 1e-9)
+        angle, within = _caps(dim)
+        share = min(0.02, max(per_filter, 1.0) / max(rows, 1))
+        cut = min(float(np.cos(np.interp(share, within, angle))), 0.75, 0.77 * sqrt((1 + threshold) / 2))
+        while True:
+            share = cap_share(dim, cut)
+            size = max(2, ceil(sqrt(hits / share)))
+            rng, found, batch = np.random.default_rng(seed), 0, 500
+            for k in range(PAIRS // batch):  # other codes each time: the share is an average over codes
+                codes = Codes.make(cls(dim, cut, size, 1), seed=seed + 1 + k)
+                x, y = _pairs(dim, threshold, batch, rng)
+                (a, f), (b, g) = codes.decode(x), codes.decode(y)
+                found += len(np.unique(np.intersect1d(a * size**2 + f, b * size**2 + g) // size**2))
+            hit = found / PAIRS
+            hit -= 3 * sqrt(hit * (1 - hit) / PAIRS)
+            if hit > 0.02:
+                return cls(dim, cut, size, max(2, ceil(log(1 - target) / log(1 - min(hit, 1 - 1e-9)))))
+            cut = float(np.cos(np.interp(min(2 * share, 0.999), within, angle)))
 
 
 @dataclass
@@ -33,27 +91,20 @@ class Codes:
     """Filter directions: under each of several random rotations, all sums of a codeword for either half of the coordinates."""
 
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # rotation, codewords of the first half, of the second, as rows
-    cut: float  # a direction counts if its inner product with the unit vector reaches it
+    cut: float
 
     @classmethod
-    def make(cls, dim: int, per_filter: float, hits: float, rows: int, seed: int = 11) -> Codes:
-        """Caps so large that each holds ``per_filter`` of ``rows`` random vectors, and so many that each vector has ``hits`` a rotation."""
-        share = min(0.02, max(per_filter, 1.0) / max(rows, 1))
-        lo, hi = 0.0, 8.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if _tail(mid) > share else (lo, mid)
-        size = max(2, round(sqrt(hits / share)))
+    def make(cls, plan: Plan, seed: int = 11) -> Codes:
         rng = np.random.default_rng(seed)
-        parts = []
-        for _ in range(rotations(rows)):
+        parts, dim = [], plan.dim
+        for _ in range(plan.rotations):
             rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
             halves = []
             for n in (dim - dim // 2, dim // 2):
-                code = rng.normal(size=(size if n else 1, n))
+                code = rng.normal(size=(plan.size if n else 1, n))
                 halves.append(code * np.sqrt(n / dim) / np.maximum(np.linalg.norm(code, axis=1, keepdims=True), 1e-12))
             parts.append((rotation, *halves))
-        return cls(parts, min(lo / np.sqrt(dim), 0.75))  # with few components, a direction is near enough at 0.75
+        return cls(parts, plan.cut)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter), by row, for all filters that each unit vector exceeds.
@@ -91,7 +142,7 @@ def _unit(values: list) -> np.ndarray | None:
     return x / length if length else None
 
 
-def _spread(vectors: DataFrame, make: dict, rows: int) -> DataFrame:
+def _spread(vectors: DataFrame, plans: dict[int, Plan]) -> DataFrame:
     """(node, unit, filters): unit vectors as bytes, with the sorted filters that hold them."""
     schema = "node long, unit binary, filters array<long>"
     arrow = arrow_schema(schema)
@@ -106,7 +157,7 @@ def _spread(vectors: DataFrame, make: dict, rows: int) -> DataFrame:
                     by_dim.setdefault(len(data) // 8, []).append((node, data))
                 for dim, own in by_dim.items():
                     if dim not in codes:
-                        codes[dim] = Codes.make(dim, rows=rows, **make)
+                        codes[dim] = Codes.make(plans[dim])
                     unit = np.array([np.frombuffer(d, "<f8") for _, d in own])
                     at, filters = codes[dim].decode(unit)
                     lists = np.split(filters, np.searchsorted(at, np.arange(1, len(own))))
@@ -148,11 +199,15 @@ def _compare(nodes: np.ndarray, units: np.ndarray, filters: list[np.ndarray], co
 
 
 def _join(spread: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, least) of every block that holds a link; the link counts of different blocks add up."""
-    held = spread.join(copies, "node")
-    each = held.select("node", F.explode("filters").alias("filter"))
+    """(node, links, least) of every block that holds a link; the link counts of different blocks add up.
+
+    A row takes along the filters before its own that others share, which is what finding the first common one needs.
+    """
+    each = spread.select("node", F.explode("filters").alias("filter"))
     sizes = each.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = held.select("node", "unit", "filters", "copies", F.explode("filters").alias("filter")).join(sizes, "filter")
+    shared = each.join(sizes, "filter").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("filter", "blocks"))).alias("shared"))  # the vectors stay where they are
+    held = spread.select("node", "unit").join(shared, "node").join(copies, "node").withColumn("filters", F.col("shared.filter"))
+    rows = held.select("node", "unit", "filters", "copies", F.posexplode("shared").alias("at", "one")).select("node", "unit", F.slice("filters", F.lit(1), F.col("at")).alias("filters"), "copies", "one.*")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("filter", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "unit", "filters", "copies")
@@ -193,8 +248,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float =
 
     The caps shrink as the table grows, so that a filter holds about ``per_filter`` unrelated vectors at any size. A filter
     that holds more is cut into blocks, and each pair of blocks is a group of its own; links are counted there, in the first
-    filter that two vectors share, and never become rows. Of pairs at a cosine of 0.9, 98.75 % share a filter
-    among 50,000 vectors of 64 components.
+    filter that two vectors share, and never become rows. The number of rotations is such that of random pairs
+    at the threshold, ``RECALL`` or more share a filter, whatever the number of vectors and of their components.
     """
     schema = "vec_id long, unit binary"
     arrow = arrow_schema(schema)
@@ -208,7 +263,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float =
     units = materialise(read.mapInArrow(normalise, schema), "units")
     nodes = units.where("unit is not null and vec_id is not null").groupBy("unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = materialise(nodes, "vectors")
-    spread = materialise(_spread(nodes.select("node", "unit"), {"per_filter": per_filter, "hits": hits}, nodes.count()), "filters")
+    dims = nodes.groupBy((F.length("unit") / 8).cast("int").alias("dim")).count().collect()
+    plans = {r.dim: Plan.make(r.dim, per_filter, hits, r["count"], threshold) for r in dims}
+    spread = materialise(_spread(nodes.select("node", "unit"), plans), "filters")
     found = materialise(_join(spread, nodes.select("node", "copies"), threshold), "vector-links")
     label = components_of_ids(found.select("node", "least"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

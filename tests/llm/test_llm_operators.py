@@ -110,6 +110,26 @@ def test_vector_blocks_count_each_link_once(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(119, 0)}
 
 
+@pytest.mark.parametrize(("dim", "rows"), [(64, 50_000), (64, 3_000_000), (32, 3_000_000), (2, 1000)])
+def test_vector_recall_at_any_size(dim, rows):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 500, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    plan = spherical.Plan.make(dim, per_filter=24, hits=8, rows=rows)
+    codes = spherical.Codes.make(plan)
+    (a, f), (b, g) = codes.decode(x), codes.decode(y)
+    assert len(a) >= 0.9 * 8 * plan.rotations * len(x)
+    one, two = [set(f[a == k]) for k in range(len(x))], [set(g[b == k]) for k in range(len(x))]
+    assert np.mean([bool(p & q) for p, q in zip(one, two, strict=True)]) >= 0.98
+
+
+def test_cap_share_is_exact():
+    assert spherical.cap_share(3, 0.5) == pytest.approx(0.25, rel=1e-6)  # on the sphere, heights are uniform
+    assert spherical.cap_share(2, 0.5) == pytest.approx(1 / 3, rel=1e-6)
+
+
 # --- language and toxicity ----------------------------------------------------------------------------------------------
 
 
