@@ -12,9 +12,9 @@ from ..functions.text import words
 DOCSTRING = 500
 
 
-def build_index(nodes: DataFrame) -> DataFrame:
-    """(token, node_id, column, pos) of nodes with a name: all words of name and of the docstring's first 500 characters."""
-    fields = (("name", F.col("name")), ("docstring", F.substring("docstring", 1, DOCSTRING)))
+def build_index(nodes: DataFrame, length: int | None = DOCSTRING) -> DataFrame:
+    """(token, node_id, column, pos) of nodes with a name: all words of name and of the docstring's first ``length`` characters, or of all with None."""
+    fields = (("name", F.col("name")), ("docstring", F.col("docstring") if length is None else F.substring("docstring", 1, length)))
     named = nodes.where("name is not null").select("node_id", F.explode(F.array(*(F.struct(F.lit(k).alias("column"), words(v).alias("tokens")) for k, v in fields))).alias("f"))
     return named.select("node_id", "f.column", F.posexplode("f.tokens").alias("pos", "token"))
 

@@ -235,7 +235,7 @@ def _document_nodes(p: Projection) -> DataFrame:
 
 def _full_text(name: str, ask: str, sql: str) -> None:
     def run(p: Projection) -> DataFrame:
-        return search.match(search.build_index(_document_nodes(p)), ask).select("node_id")
+        return search.match(search.build_index(_document_nodes(p), length=None), ask).select("node_id")
 
     run.__name__ = name
     query("", f"WITH {_DOC_TEXTS}, {_postings_sql()} {sql}")(run)
