@@ -13,9 +13,10 @@ MIX = {"fraction": 0.8, "epochs": 1, "seed": 20}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what language identification rejects: texts without a letter, and those whose language it can't tell."""
+    """Drop what language identification rejects: texts without a letter, and those whose language it can't tell. Rows that name none get the one predicted."""
     model = langid.train(docs, F.col("lang").isNotNull())
-    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    told = langid.identify(docs, model).where(~F.col("rejected"))
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,19 +34,39 @@ def water_fill(nodes: DataFrame, parent: Sequence[str], given: str, cap: str, we
     return final.withColumn(out, share).drop("_w", "_ratio", "_cap", "_before", "_left", "_level", "_final")
 
 
+def _weigh(caps: DataFrame, k: int, table: DataFrame | None) -> DataFrame:
+    """``caps`` with w{k}, the weight of each leaf's node on level ``k``, never null."""
+    own = f"w{k}"
+    if table is None:
+        return caps.withColumn(own, F.lit(1.0))
+    path, parent = list(LEVELS[: k + 1]), ["root", *LEVELS[:k]]
+    last = F.col(LEVELS[k])
+    listed = table.where(last.isNotNull()).select(*path, F.col("weight").cast("double").alias(own), F.lit(True).alias("_listed"))
+    others = table.where(last.isNull()).select(F.lit(0).alias("root"), *LEVELS[:k], F.col("weight").cast("double").alias("_others"))
+    read = caps.join(listed, path, "left").join(others, parent, "left")
+    missing = F.size(F.collect_set(F.when(F.col("_listed").isNull(), last)).over(Window.partitionBy(*parent)))
+    weight = F.when(F.col("_listed").isNull(), F.col("_others") / F.greatest(missing, F.lit(1))).otherwise(F.col(own))
+    return read.withColumn(own, F.coalesce(weight, F.lit(0.0))).drop("_listed", "_others")
+
+
 def budgets(leaves: DataFrame, total: Column, epochs: int, weights: Sequence[DataFrame | None] = (None, None, None)) -> DataFrame:
     """``leaves`` (domain, lang, source, tokens) with the budget of each, in tokens.
 
-    ``weights``: for each level a frame (its path columns, weight) or None for equal weights among siblings; a node without
-    a row has weight 0. ``total`` is computed from the sum ``tokens``, and is what all leaves can give at most. A leaf can give its tokens ``epochs`` times.
+    ``weights``: for each level a frame (its path columns, weight) or None for equal weights among siblings. A row whose last path
+    column is null holds the weight that all siblings without a row share alike; without such a row they have weight 0. ``total`` is
+    computed from the sum ``tokens``, and is what all leaves can give at most. A leaf can give its tokens ``epochs`` times, or
+    nothing if a weight on its path is 0: what nothing can take below a node goes to the node's siblings.
     """
-    caps = leaves.withColumn("root", F.lit(0)).withColumn("cap", F.col("tokens").cast("double") * epochs)
+    caps = leaves.withColumn("root", F.lit(0))
+    for k, table in enumerate(weights):
+        caps = _weigh(caps, k, table)
+    open_ = (F.col("w0") > 0) & (F.col("w1") > 0) & (F.col("w2") > 0)
+    caps = caps.withColumn("cap", F.when(open_, F.col("tokens").cast("double") * epochs).otherwise(0.0))
     level = caps.groupBy("root").agg(F.sum("cap").alias("cap"), F.sum("tokens").cast("double").alias("tokens")).select("root", F.least(total, F.col("cap")).alias("given"))
     parent = ["root"]
-    for k, table in enumerate(weights):
+    for k in range(len(LEVELS)):
         path = [*parent, LEVELS[k]]
-        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap"))
-        nodes = nodes.join(table, list(LEVELS[: k + 1]), "left") if table is not None else nodes.withColumn("weight", F.lit(1.0))
+        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max(f"w{k}").alias("weight"))
         level = water_fill(nodes.join(level, parent), parent, "given", "cap", "weight", "share").select(*path, F.col("share").alias("given"))
         parent = path
     return caps.join(level.withColumnRenamed("given", "budget"), list(LEVELS)).select(*LEVELS, "tokens", "budget")

@@ -59,6 +59,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Shares of the token budget: of domains, and of languages within each domain. Sources of a language share alike.
 DOMAIN_WEIGHTS = {"web": 0.4, "forum": 0.2, "books": 0.3, "reference": 0.1}
 LANG_WEIGHTS = {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}
+#: What all other languages of a domain share, among them texts that name none: as much as the smallest of those listed.
+OTHER_LANGS = 0.15
 MIX = {"fraction": 1.0, "epochs": 2, "seed": 20}
 
 
@@ -73,7 +75,7 @@ def n_words() -> F.Column:
 
 
 def mix_weights(spark: SparkSession) -> tuple[DataFrame, DataFrame, None]:
-    by_lang = [(d, k, w) for d in DOMAIN_WEIGHTS for k, w in LANG_WEIGHTS.items()]
+    by_lang = [(d, k, w) for d in DOMAIN_WEIGHTS for k, w in [*LANG_WEIGHTS.items(), (None, OTHER_LANGS)]]
     return spark.createDataFrame(list(DOMAIN_WEIGHTS.items()), "domain string, weight double"), spark.createDataFrame(by_lang, "domain string, lang string, weight double"), None
 
 

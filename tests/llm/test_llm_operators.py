@@ -321,6 +321,32 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(rows.limit(0), queries.n_words(), queries.domain()).count() == 0
 
 
+def test_budget_of_closed_leaves_goes_to_other_domains(spark):
+    leaves = spark.createDataFrame([("d0", "en", "s", 100), ("d0", "xx", "s", 900), ("d1", "en", "s", 1000)], "domain string, lang string, source string, tokens long")
+    by_lang = spark.createDataFrame([("d0", "en", 1.0), ("d1", "en", 1.0)], "domain string, lang string, weight double")
+    got = {(r.domain, r.lang): r.budget for r in mixing.budgets(leaves, F.lit(0.5) * F.col("tokens"), 1, (None, by_lang, None)).collect()}
+    assert got == {("d0", "en"): 100, ("d0", "xx"): 0, ("d1", "en"): 900}
+
+
+def test_unlisted_languages_have_a_share(spark):
+    leaves = spark.createDataFrame([("d", "en", "s", 1000), ("d", "xx", "s", 1000), ("d", "yy", "s", 1000)], "domain string, lang string, source string, tokens long")
+    by_lang = spark.createDataFrame([("d", "en", 0.6), ("d", None, 0.4)], "domain string, lang string, weight double")
+    got = {r.lang: r.budget for r in mixing.budgets(leaves, F.lit(1000.0), 1, (None, by_lang, None)).collect()}
+    assert got == pytest.approx({"en": 600, "xx": 200, "yy": 200})
+    rows = spark.createDataFrame([(k, "a b c", lang, "src1") for k, lang in enumerate(["en", None, "it"])], "doc_id long, text string, lang string, source string")
+    chosen = mixing.mix(rows, queries.n_words(), queries.domain(), epochs=1, weights=queries.mix_weights(spark)).collect()
+    assert sorted(r.doc_id for r in chosen) == [0, 1, 2]
+
+
+def test_language_stage_names_the_language(spark, data):
+    import corpus_pipeline
+
+    given = spark.read.parquet(data + "/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    told = corpus_pipeline.language(spark, given, data)
+    assert told.columns == given.columns and told.where("doc_id % 5 = 0").count() > 20
+    assert told.where("lang is null").count() == 0
+
+
 # --- language model --------------------------------------------------------------------------------------------------------
 
 
