@@ -25,17 +25,32 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, threshold=0.7).where("predicted = 0").select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row: the doc_id, or for rows without one a number above all ids, one for each text, in the order of the texts' hashes."""
+    hashed = F.md5(F.coalesce("text", F.lit("")))
+    nameless = docs.where("doc_id is null")
+    named = docs.where("doc_id is not null").withColumn("_row", F.col("doc_id").cast("long"))
+    if nameless.isEmpty():
+        return named
+    top = named.agg(F.coalesce(F.max("_row"), F.lit(0))).first()[0]
+    texts = nameless.select(hashed.alias("_text")).distinct().repartitionByRange("_text").sortWithinPartitions("_text")
+    numbers = materialise(texts.select("_text", (F.monotonically_increasing_id() + F.lit(top) + 1).alias("_row")), "nameless")
+    return named.unionByName(nameless.withColumn("_text", hashed).join(numbers, "_text").drop("_text"))
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates; repeated rows of one id are one document."""
-    classes, _ = probminhash.near_duplicates(docs, threshold=0.8, words=5)
-    kept = classes.where("kept or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Keep one document of each class of near-duplicates; repeated rows of one id, or of one text without an id, are one document."""
+    rows = _numbered(docs)
+    classes, _ = probminhash.near_duplicates(rows, threshold=0.8, words=5, id_column="_row")
+    kept = classes.where("kept").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the token budgets of domains, languages and sources reach: 80 % of all tokens, nothing twice."""
-    chosen = mixing.mix(docs, queries.n_words(), queries.domain(), weights=queries.mix_weights(spark), **MIX)
-    return docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Keep what the token budgets of domains, languages and sources reach: 80 % of all tokens, nothing twice. A row without an id goes by its text."""
+    rows = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5("text"))))
+    chosen = mixing.mix(rows, queries.n_words(), queries.domain(), weights=queries.mix_weights(spark), **MIX, id_column="_row")
+    return rows.join(chosen.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_semi").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

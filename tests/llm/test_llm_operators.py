@@ -458,3 +458,20 @@ def test_pipeline_stages(spark, data):
     placed = p.STAGES[-1][1](spark, kept, data).collect()
     assert {r.doc_id for r in placed} == after
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in placed)
+
+
+def test_pipeline_keeps_texts_without_an_id(spark, data, monkeypatch):
+    import corpus_pipeline as p
+
+    monkeypatch.setitem(p.MIX, "fraction", 1.0)
+    words = [[f"w{k}x{j}" for j in range(100)] for k in range(5)]
+    texts = [" ".join(w) for w in words]
+    near = " ".join([*words[3][:-1], "other"])
+    rows = [(1, texts[0]), (7, texts[1]), (7, texts[1]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (None, near), (None, texts[4])]
+    given = spark.createDataFrame([(k, t, "en", "src1") for k, t in rows], "doc_id long, text string, lang string, source string")
+    kept = p.distinct(spark, given, data).persist()
+    assert kept.columns == given.columns
+    assert sorted((r.doc_id is None, "near" if r.text in (near, texts[3]) else r.text) for r in kept.collect()) == sorted([(False, texts[0]), (False, texts[1]), (True, texts[2]), (True, "near"), (True, texts[4])])
+    assert sorted(r.text for r in p.mixed(spark, kept, data).collect()) == sorted(r.text for r in kept.collect())
+    unnamed = given.withColumn("doc_id", F.lit(None).cast("long"))
+    assert p.distinct(spark, unnamed, data).count() == 5
