@@ -51,15 +51,35 @@ def alias_key(url: Column) -> Column:
     return F.when(front != "", F.concat(F.translate(front, UPPER, LOWER), F.substring(bare, F.length(front) + 1, F.length(bare))))
 
 
+def _without_dots(path_: Column) -> Column:
+    """A path from ``/`` without the segments ``.`` and ``..``."""
+    parts = F.split(path_, "/")
+    add = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), add)
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path_.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(ends, "/"))).otherwise(path_)
+
+
+def absolute(to: Column, src: Column) -> Column:
+    """The address ``to`` as seen from the page ``src``: as it is with a scheme, otherwise from the page's scheme, site, folder or path."""
+    site = F.regexp_extract(src, r"(?s)^(.*?://[^/?]*)", 1)
+    scheme = F.regexp_extract(src, r"(?s)^(.*?:)//", 1)
+    here = F.regexp_extract(src, r"(?s)^.*?://[^/?]*([^?]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(here, "(?s)^/(.*/)", 1))
+    front = F.regexp_extract(to, "(?s)^([^?#]*)", 1)
+    rest = F.substring(to, F.length(front) + 1, F.length(to))
+    below = F.when(front.startswith("/"), front).otherwise(F.concat(folder, front))
+    own = F.when(rest.startswith("?"), F.concat(site, here, rest)).otherwise(src)
+    relative = F.when(front == "", own).otherwise(F.concat(site, _without_dots(below), rest))
+    return F.when(to.startswith("//"), F.concat(scheme, to)).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), to).otherwise(relative)
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) addresses that redirect or canonical-link elements of a page connect; relative ones from ``/`` are completed."""
+    """(src, dst) addresses that the redirect and canonical-link elements of a page, all of them, connect; relative ones are completed."""
     page, text = F.col(f"`{url}`"), F.col(f"`{html}`")
     may = pages.where(F.lower(text).rlike("canonical|refresh")).select(alias_key(page).alias("src"), text.alias("text"))
-    found = may.select("src", F.explode(F.array(*(F.regexp_extract("text", p, 1) for p in _TARGETS))).alias("to")).where("to != ''")
-    site = F.regexp_extract("src", r"(?s)^(.*?://[^/?]*)", 1)
-    scheme = F.regexp_extract("src", r"(?s)^(.*?:)//", 1)
-    full = F.when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(site, "to")).otherwise(F.col("to"))
-    return found.select("src", alias_key(full).alias("dst")).where("src is not null and dst is not null and src != dst").distinct()
+    found = may.where("src is not null").select("src", F.explode(F.concat(*(F.regexp_extract_all("text", F.lit(p), 1) for p in _TARGETS))).alias("to")).where("to != ''")
+    return found.select("src", alias_key(absolute(F.col("to"), F.col("src"))).alias("dst")).where("dst is not null and src != dst").distinct()
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None, url: str = "url", html: str | None = "html") -> DataFrame:

@@ -412,6 +412,21 @@ def test_rules_and_aliases(spark):
     assert moved.first().verdict == "block"
 
 
+def test_every_element_and_relative_targets(spark):
+    link, meta = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    pages = [
+        ("http://a.com/x/p.html?q=1", link % "http://b.com/1" + link % "page2.html" + meta % "../y" + meta % "?p=2"),
+        ("http://c.com", link % "z" + meta % "#top" + link % "mailto:me"),
+        ("http://d.com/a/b/", link % "./c?u=http://e.com/" + meta % "/k" + meta % "//f.com/g" + link % "../../../h/."),
+    ]
+    given = spark.createDataFrame(pages, "url string, html string")
+    got = {(r.src, r.dst) for r in urlfilter.page_links(given).collect()}
+    want = {0: ["http://b.com/1", "http://a.com/x/page2.html", "http://a.com/y", "http://a.com/x/p.html?p=2"], 1: ["http://c.com/z"], 2: ["http://d.com/a/b/c?u=http://e.com/", "http://d.com/k", "http://f.com/g", "http://d.com/h/"]}
+    assert got == {(pages[k][0], x) for k, to in want.items() for x in to}
+    told = urlfilter.filter_urls(given, [("block", "a.com", "/y")]).collect()
+    assert {r.url for r in told if r.verdict == "block"} == {pages[0][0]}
+
+
 # --- chat --------------------------------------------------------------------------------------------------------------------
 
 
