@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens
 from ..schema import bare_path
-from . import rank, stats
+from . import rank, stats, themes
 from .lookup import public_api, todos
 
 
@@ -84,8 +84,11 @@ LIMITS = {"hot_paths": 15, "recent_changes": 5, "public_api": 30, "todos": 20, "
 GATES = {"modules": 1000, "classes": 500, "todos": 200, "themes": 400, "notes": 300}
 
 
-def sections(nodes: DataFrame, edges: DataFrame, todo_rows: DataFrame, commits: DataFrame | None = None, budget: int = 8000) -> dict[str, list[dict]]:
-    """The rows of a pack, section by section, each a small query; lower tiers come only while their gate's tokens are left."""
+def sections(nodes: DataFrame, edges: DataFrame, todo_rows: DataFrame, commits: DataFrame | None = None, budget: int = 8000, comments: DataFrame | None = None, notes: DataFrame | None = None) -> dict[str, list[dict]]:
+    """The rows of a pack, section by section, each a small query; lower tiers come only while their gate's tokens are left.
+
+    Themes come from review ``comments``, notes from ``notes`` (pos, written, category, body), newest first, where these are given.
+    """
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731  each is bounded by a limit
     signature = F.substring("signature", 1, 80).alias("signature")
     pack = {
@@ -101,10 +104,16 @@ def sections(nodes: DataFrame, edges: DataFrame, todo_rows: DataFrame, commits:
         "classes": lambda left: classes_in_budget(nodes, edges, left // 2),
         "todos": lambda left: todos(todo_rows, None, LIMITS["todos"]),
     }
+    if comments is not None:
+        lower["themes"] = lambda left: themes.theme_counts(comments).limit(LIMITS["themes"])
+    if notes is not None:
+        lower["notes"] = lambda left: notes.orderBy(F.desc("pos")).select("written", "category", "body").limit(LIMITS["notes"])
     for name, make in lower.items():
         left = budget - tokens_of(pack)
         if left > GATES[name]:
-            pack[name] = rows(make(left))
+            found = rows(make(left))
+            if found or name not in ("themes", "notes"):
+                pack[name] = found
     return pack
 
 

@@ -97,8 +97,8 @@ class SourceGraph:
         config = self.nodes.sparkSession.createDataFrame([], "key string, value string")
         return health.doctor(self.nodes, self.edges, self.index, config)
 
-    def context_pack(self, title: str, budget: int = 8000) -> str:
-        return pack.fit(pack.sections(self.nodes, self.edges, self.todos, self.commits, budget), title, budget)
+    def context_pack(self, title: str, budget: int = 8000, comments: DataFrame | None = None, notes: DataFrame | None = None) -> str:
+        return pack.fit(pack.sections(self.nodes, self.edges, self.todos, self.commits, budget, comments, notes), title, budget)
 
     def register_views(self) -> None:
         """For Spark SQL: nodes, edges, todos, commits."""

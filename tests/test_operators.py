@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import schema
 from loomgraph.functions import text
 from loomgraph.operators import diff, health, incremental, lookup, pack, rank, resolve, search, stats, themes, traverse
 
@@ -142,6 +143,17 @@ def test_pack_fits(spark):
     assert "&lt;b&gt;" in pack.render_html({"x": [{"v": "<b>"}]}, "T")
 
 
+def test_pack_holds_themes_and_notes(spark):
+    nodes = spark.createDataFrame([], schema.NODES)
+    edges = spark.createDataFrame([], schema.EDGES)
+    todos = spark.createDataFrame([], schema.TODOS)
+    comments = spark.createDataFrame([(1, "inline", "a", "x.py", "please add test cases", 0)], "pr int, source string, login string, path string, body string, seq int")
+    notes = spark.createDataFrame([(k, f"t{k}", "plan", f"n{k}") for k in range(10)], "pos int, written string, category string, body string")
+    got = pack.sections(nodes, edges, todos, comments=comments, notes=notes)
+    assert len(got["themes"]) >= 1 and [r["body"] for r in got["notes"]] == [f"n{k}" for k in range(9, 1, -1)]
+    assert not {"themes", "notes"} & set(pack.sections(nodes, edges, todos))
+
+
 def test_empty_graph(spark):
     nodes = spark.createDataFrame([], "node_id string, kind string, name string, qualified_name string, file string, path string, lang string, docstring string, complexity int, is_test boolean, line_count int")
     edges = spark.createDataFrame([], EDGE)
