@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, to_batch
+from .common import arrow_schema, tidy, to_batch
 from .tokens import WordTokenizer
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -107,6 +107,7 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 2048,
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, current, rows = WordTokenizer.get(tokenizer), None, []
+        tidy(tokens)
         extra = tokens.count(START + "\n" + END)
         for frame in frames:
             for conv_id, _, role, text in zip(*(c.to_pylist() for c in frame.columns), strict=True):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import pickle
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,6 +70,13 @@ def fold(column: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n, F.lit(0))
 
 
+def named(df: DataFrame, name: str) -> int:
+    """Position of the column ``name``: written so, or else the first that differs in case only."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def columns_free(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that clash with no column of ``df``."""
     have, out = {c.lower() for c in df.columns}, []
@@ -102,10 +112,65 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def add_columns(documents: DataFrame, text: str, told: str, make: Callable[[], Callable[[list[str | None]], list[pa.Array]]]) -> DataFrame:
+    """``documents`` with the columns ``told`` (DDL), which ``make()``'s function gives for a list of whole texts. No shuffle.
+
+    Columns go by position, so any other names do; input columns with a name of ``told``, in any case, are replaced.
+    """
+    fields = _parse_datatype_string(told)
+    new = {f.name.lower() for f in fields}
+    keep = [k for k, c in enumerate(documents.columns) if c.lower() not in new]
+    apart = documents.toDF(*(f"c{k}" for k in range(len(documents.columns))))
+    frame = apart.select(*(f"c{k}" for k in keep), F.col(f"c{named(documents, text)}").alias("whole"))
+    schema = StructType([*(StructField(documents.columns[k], documents.schema[k].dataType) for k in keep), *fields])
+    arrow, names = arrow_schema(told), [*(documents.columns[k] for k in keep), *fields.names]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tell = make()
+        for batch in frames:
+            columns = tell(batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(c.cast(f.type) for c, f in zip(columns, arrow, strict=True))], names=names)
+
+    return frame.mapInArrow(run, schema)
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of all ``rows``, a sample of bounded size, in one task; only the result, pickled, comes to the driver."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        held = list(frames)
+        model = fit(pa.Table.from_batches(held, schema=held[0].schema if held else arrow))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    arrow = arrow_schema(rows.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
+
+
+#: What workers remember between tasks; a task drops what it doesn't use itself.
+_REMEMBERED: list = []
+
+
+def tidy(*keep) -> None:
+    """At the start of a task: forget what other operators' tasks left in this worker, and give unused memory back."""
+    for x in _REMEMBERED:
+        if not any(x is k for k in keep):
+            x.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 class WordHashes(dict):
     """Word bytes to 64-bit xxhash, remembered up to a bound; what is forgotten is hashed again."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
+
+    def __init__(self):
+        super().__init__()
+        _REMEMBERED.append(self)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

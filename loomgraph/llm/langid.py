@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, to_batch
+from .common import add_columns, arrow_schema, fit_in_task, named, tidy, to_batch
 from .sampling import stratified
 
 BITS = 16
@@ -71,11 +71,11 @@ class Model:
         return self.labels[k], float(p[k]), bool(p[k] < self.threshold)
 
 
-def fit(samples: list[tuple[str, np.ndarray, np.ndarray, float]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7, keep: float = 0.999) -> Model:
-    """Train on (label, subword buckets, their counts, weight); a fifth is held back for temperature and rejection threshold.
+def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7, keep: float = 0.999) -> Model:
+    """Train on (label, subword buckets, their counts); a fifth is held back for temperature and rejection threshold.
 
-    The temperature minimises the held-back log loss. The threshold is at most 1/2 and leaves ``keep`` of the
-    held-back texts that are named rightly.
+    Each label's sample has about the same size, so all labels weigh alike, however many rows they have. The temperature minimises the
+    held-back log loss. The threshold is at most 1/2 and leaves ``keep`` of the held-back texts that are named rightly.
     """
     labels = sorted({s[0] for s in samples})
     rng = np.random.default_rng(seed)
@@ -90,10 +90,10 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray, float]], dim: int = 16,
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for k in rng.permutation(train):
-            label, ids, counts, _ = samples[k]
+            label, ids, counts = samples[k]
             if not len(ids):
                 continue
-            share = counts / counts.sum()
+            share = counts / counts.sum(dtype=np.float64)
             hidden = share @ embedding[ids]
             z = hidden @ weights + bias
             p = np.exp(z - z.max())
@@ -124,45 +124,50 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray, float]], dim: int = 16,
 def train(documents: DataFrame, learn: Column, text: str = "text", lang: str = "lang", id_column: str = "doc_id", per_label: int = 600, **options) -> Model:
     """A model from a bounded sample, about ``per_label`` whole texts of each language, of the rows where ``learn`` holds.
 
-    Rows without text or language are left out; without any rows, the model knows no language.
+    Rows without text or language are left out; without any rows, the model knows no language. Repeated rows of one id are sampled
+    together. The sample is reduced to counts of subwords where it is read, and fitted in one task of an executor.
     """
-    schema = "label string, ids binary, counts binary, weight double"
+    schema = "label string, ids binary, counts binary"
     arrow = arrow_schema(schema)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for frame in frames:
             rows = []
-            for label, words, weight in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+            for label, words in zip(*(c.to_pylist() for c in frame.columns), strict=True):
                 counts = np.zeros(1 << BITS, np.int64)
                 for ids in subwords(words):
                     counts += np.bincount(ids, minlength=1 << BITS)
                 ids = np.flatnonzero(counts)
-                rows.append((label, ids.astype("<u4").tobytes(), counts[ids].astype("<u4").tobytes(), weight))
+                rows.append((label, ids.astype("<u2").tobytes(), counts[ids].astype("<f4").tobytes()))
             yield to_batch(rows, arrow)
 
-    key = F.col(f"`{id_column}`")
-    known = documents.where(learn & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    read = stratified(known.select(F.col(f"`{lang}`").alias("label"), F.col(f"`{text}`").alias("words"), key.alias("key")), "label", per_label, F.col("key"))
-    rows = read.select("label", "words", "sample_weight").mapInArrow(run, schema).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["label"], r["ids"], r["counts"]))
-    return fit([(r["label"], np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(float), r["weight"]) for r in rows], **options)
+    def fitted(sample: pa.Table) -> Model:
+        rows = sorted(zip(*(c.to_pylist() for c in sample.columns), strict=True))
+        return fit([(label, np.frombuffer(ids, "<u2"), np.frombuffer(n, "<f4")) for label, ids, n in rows], **options)
+
+    place = documents.columns
+    label, words, key = (F.col(f"`{place[named(documents, c)]}`") for c in (lang, text, id_column))
+    known = documents.where(learn & label.isNotNull() & words.isNotNull()).select(label.alias("label"), words.alias("words"), key.alias("key"))
+    read = stratified(known, "label", per_label, F.col("key"))
+    return fit_in_task(read.select("label", "words").mapInArrow(run, schema), fitted)
 
 
 def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``documents`` with lang_pred, score and rejected, from whole texts alone; no shuffle.
 
-    Null texts and texts without a letter: ``und``, 0.0, rejected. Input columns of these names are replaced; no rows give no rows.
+    Null texts, empty ones and texts without a letter: ``und``, 0.0, rejected. Classes that tie: the first in the order of their
+    names. Repeated rows stay and have the same answers. Input columns of these names, in any case, are replaced; no rows give no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            rows = [shared.value.predict(x) for x in frame.column(place).to_pylist()]
-            told = to_batch(rows, added)
-            yield pa.RecordBatch.from_arrays([*(frame.column(k) for k in keep), *told.columns], names=[*(kept[j] for j in range(len(keep))), *added.names])
-
-    added = arrow_schema("lang_pred string, score double, rejected boolean")
-    kept = [c for c in documents.columns if c not in added.names]
-    keep, place = [documents.columns.index(c) for c in kept], documents.columns.index(text)
-    schema = documents.select(*(F.col(f"`{c}`") for c in kept)).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema
-    return documents.mapInArrow(run, schema)
+    def make():
+        tidy()
+
+        def tell(texts: list[str | None]) -> list[pa.Array]:
+            languages, scores, rejected = zip(*map(shared.value.predict, texts), strict=True) if texts else ((), (), ())
+            return [pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+
+        return tell
+
+    return add_columns(documents, text, "lang_pred string, score double, rejected boolean", make)

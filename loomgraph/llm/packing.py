@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialise, to_batch
+from .common import arrow_schema, materialise, tidy, to_batch
 from .tokens import WordTokenizer
 
 #: A piece of a document: ids start..start+length of it lie in sequence_id from offset on. level and part say where it was placed.
@@ -104,6 +104,7 @@ def pack(documents: DataFrame, tokenizer: str, size: int = 4096, windows: int =
         from pyspark import TaskContext
 
         part, packer, tokens, count = TaskContext.get().partitionId(), Packer(size, windows), WordTokenizer.get(tokenizer), 0
+        tidy(tokens)
         end = np.array([end_id], "<u4").tobytes()
         for frame in frames:
             for doc_id, words in zip(*(c.to_pylist() for c in frame.columns), strict=True):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_schema, having, materialise, mix, release, to_batch
+from .common import WordHashes, arrow_schema, having, materialise, mix, release, tidy, to_batch
 from .components import components_of_ids
 
 _WORDS = WordHashes()
@@ -124,6 +124,7 @@ def _signed(documents: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(_WORDS)
         for frame in frames:
             ids, same = frame.column(0).to_pylist(), frame.column(1).to_pylist()
             sets, start, held = [], 0, 0
@@ -153,6 +154,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(_WORDS)
         for frame in frames:
             for start in range(0, frame.num_rows, 200):
                 rows = []
@@ -190,6 +192,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     arrow = arrow_schema(_LINK)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for (b, _), rows in _grouped(frames, 2):
             found = Sets([_load(*r[1:]) for r in rows[1:]]).similarities(_load(*rows[0][1:]))
             yield to_batch([(rows[k + 1][0], b, float(found[k])) for k in np.flatnonzero(found >= threshold)], arrow)

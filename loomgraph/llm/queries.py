@@ -37,7 +37,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 4) == 2
     model = langid.train(docs, ~held)
-    return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    told = langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return told.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +135,13 @@ QUERIES: dict[str, Query] = {
 }
 
 
-def _fill_sql(name: str, parent: list[str], own: str, weight: str, given: str) -> str:
+def _fill_sql(name: str, parent: list[str], own: str, given: str) -> str:
     """CTEs ``{name}``: the budget of each node below ``given``, none above its capacity, siblings taking what others can't."""
     path = ", ".join([*parent, own])
     by = ", ".join(parent) or "1"
     join = " AND ".join(f"n.{p} = g.{p}" for p in parent) or "true"
     return f"""
-{name}_n AS (SELECT {path}, sum(cap) AS cap, {weight} AS w FROM leaf GROUP BY {path}),
+{name}_n AS (SELECT {path}, sum(cap) AS cap, max(w_{own}) AS w FROM leaf GROUP BY {path}),
 {name}_r AS (SELECT n.*, g.given, CASE WHEN w > 0 THEN cap / w END AS ratio FROM {name}_n n JOIN {given} g ON {join}),
 {name}_s AS (SELECT *, coalesce(sum(CASE WHEN w > 0 THEN cap ELSE 0 END) OVER o, 0) AS before, sum(w) OVER (PARTITION BY {by}) - coalesce(sum(w) OVER o, 0) AS rest
   FROM {name}_r WINDOW o AS (PARTITION BY {by} ORDER BY ratio NULLS LAST, {path} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -149,21 +150,25 @@ def _fill_sql(name: str, parent: list[str], own: str, weight: str, given: str) -
 {name} AS (SELECT {path}, CASE WHEN w = 0 THEN 0 WHEN fin IS NULL THEN cap ELSE least(cap, greatest(fin, 0) * w) END AS given FROM {name}_f)"""
 
 
-def _case(column: str, weights: dict[str, float]) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in weights.items()) + " ELSE 0::DOUBLE END"
+def _case(column: str, weights: dict[str, float], otherwise: str = "0::DOUBLE") -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in weights.items()) + f" ELSE {otherwise} END"
 
 
 _NUMBER = "try_cast(substring(source, 4) AS INT)"
+_LISTED = ", ".join(f"'{k}'" for k in LANG_WEIGHTS)
 _MIX_SQL = f"""
 WITH doc AS (SELECT doc_id, CASE WHEN {_NUMBER} < 5 THEN 'web' WHEN {_NUMBER} < 10 THEN 'forum' WHEN {_NUMBER} < 15 THEN 'books' ELSE 'reference' END AS domain,
     coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')), 0)::BIGINT AS tokens FROM documents),
 counted AS (SELECT * FROM doc WHERE tokens > 0),
-leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE * {MIX["epochs"]} AS cap FROM counted GROUP BY ALL),
+held AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY ALL),
+others AS (SELECT domain, count(DISTINCT lang) AS n FROM held WHERE lang NOT IN ({_LISTED}) GROUP BY domain),
+weighed AS (SELECT held.*, {_case("domain", DOMAIN_WEIGHTS)} AS w_domain, {_case("lang", LANG_WEIGHTS, f"{OTHER_LANGS}::DOUBLE / others.n")} AS w_lang, 1::DOUBLE AS w_source FROM held LEFT JOIN others USING (domain)),
+leaf AS (SELECT *, CASE WHEN w_domain > 0 AND w_lang > 0 AND w_source > 0 THEN tokens::DOUBLE * {MIX["epochs"]} ELSE 0 END AS cap FROM weighed),
 top AS (SELECT least({MIX["fraction"]}::DOUBLE * sum(tokens)::DOUBLE, sum(cap)) AS given FROM leaf),
-{_fill_sql("d", [], "domain", _case("domain", DOMAIN_WEIGHTS), "top")},
-{_fill_sql("l", ["domain"], "lang", _case("lang", LANG_WEIGHTS), "d")},
-{_fill_sql("s", ["domain", "lang"], "source", "1::DOUBLE", "l")},
-spread AS (SELECT c.*, e.epoch::INT AS epoch, md5('{MIX["seed"]}:' || e.epoch || ':' || c.doc_id) AS turn FROM counted c, (SELECT unnest(range({MIX["epochs"]})) AS epoch) e),
+{_fill_sql("d", [], "domain", "top")},
+{_fill_sql("l", ["domain"], "lang", "d")},
+{_fill_sql("s", ["domain", "lang"], "source", "l")},
+spread AS (SELECT c.*, e.epoch::INT AS epoch, md5('{MIX["seed"]}:' || e.epoch || ':' || coalesce(c.doc_id::VARCHAR, '')) AS turn FROM counted c, (SELECT unnest(range({MIX["epochs"]})) AS epoch) e),
 walked AS (SELECT p.*, floor(s.given)::BIGINT AS budget, coalesce(sum(p.tokens) OVER (PARTITION BY p.domain, p.lang, p.source ORDER BY p.epoch, p.turn, p.tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM spread p JOIN s USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, epoch, tokens, least(tokens, budget - start)::BIGINT AS take_tokens, start FROM walked WHERE start < budget

@@ -8,6 +8,8 @@ import struct
 
 import numpy as np
 
+from .common import _REMEMBERED
+
 _OPEN: dict[str, WordTokenizer] = {}
 _LETTERS, _NUMBERS, _BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 #: How the tokenizer divides lower-cased text, for the characters of Latin-1, which no normalisation joins.
@@ -31,7 +33,7 @@ class WordTokenizer:
     LIMIT of them with their signs and as many without. Texts that aren't Latin-1 go to the tokenizer as they are.
     """
 
-    LIMIT = 600_000
+    LIMIT = 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,6 +43,7 @@ class WordTokenizer:
         self.divide, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        _REMEMBERED.append(self)
         for probe in ("Ab cd's we'll\n\n é 12.5 !!' x²½", " a  b\tc…d ’e "):
             if self.direct(probe) != self.encode(probe):
                 raise ValueError(f"{path} divides texts in another way")
@@ -52,6 +55,11 @@ class WordTokenizer:
             _OPEN[path] = cls(path)
         return _OPEN[path]
 
+    def clear(self) -> None:
+        """Forget the words."""
+        self.chunks.clear()
+        self.words.clear()
+
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -172,6 +172,65 @@ def test_toxicity_learns_pairs():
     assert toxicity.fit([]).score("x") == 0.5
 
 
+def test_toxicity_learns_pairs_without_single_effects():
+    rng = np.random.default_rng(1)
+    word = {w: toxicity.text_terms(w) for w in ("grubs", "folkx", *(f"{chr(97 + k)}noise" for k in range(26)))}
+    samples = []
+    for _ in range(2000):
+        has = [w for w in ("grubs", "folkx") if rng.random() < 0.5]
+        label = int(len(has) != 1)
+        has += [f"{chr(97 + k)}noise" for k in rng.integers(0, 26, 5)]
+        samples.append((label, np.unique(np.concatenate([word[w] for w in has])).astype(np.int64), 1.0))
+    model = toxicity.fit(samples, epochs=40)
+    assert min(model.score("grubs folkx"), model.score("anoise bnoise")) > 0.7 and max(model.score("grubs anoise"), model.score("folkx bnoise")) < 0.3
+
+
+def test_toxicity_odds_against_all_pairs():
+    rng = np.random.default_rng(2)
+    text = "some words to be weighed in pairs"
+    kept = np.sort(rng.choice(toxicity.text_terms(text), 9, replace=False))
+    model = toxicity.Model(kept, 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    want = 0.3 + model.weights.sum() + sum(model.factors[i] @ model.factors[j] for i in range(9) for j in range(i))
+    assert model.score(text) == pytest.approx(1 / (1 + np.exp(-want)))
+
+
+def test_language_score_against_single_subwords():
+    rng = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(1 << langid.BITS, 3)).astype(np.float32), rng.normal(size=3), 0.7, 0.5)
+    text = "Überall, wo WORTE stehen -- 12 mal"
+    padded, found = b" " + bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode()) + b" ", []
+    for n, times, plus in ((3, 2654435761, 0), (4, 2246822519, 97)):
+        for k in range(len(padded) - n + 1):
+            part = padded[k : k + n]
+            if 32 not in part[1:-1]:
+                found.append(((int.from_bytes(part, "little") * times + plus) % 2**32) >> (32 - langid.BITS))
+    z = sum(model.table[x].astype(float) for x in found) / len(found) + model.bias
+    p = np.exp(z / 0.7) / np.exp(z / 0.7).sum()
+    assert model.predict(text) == (model.labels[int(p.argmax())], pytest.approx(p.max()), p.max() < 0.5)
+    tied = langid.Model(["a", "b"], np.zeros((1 << langid.BITS, 2), np.float32), np.zeros(2))
+    assert tied.predict("words") == ("a", 0.5, False)
+
+
+CLASH = "doc_id long, TEXT string, SCORE string, Lang_Pred int, Predicted int, whole string, c0 string, _whole string, N_Tokens string, lang string, Rejected string"
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_scorers_replace_columns_whatever_their_case(spark, data, rows):
+    given = [(k, t, "s", 1, 2, "w", "c", "x", "n", "en", "r") for k, t in ((1, "the same words"), (1, "the same words"), (None, None))][:rows]
+    frame = spark.createDataFrame(given, CLASH)
+    sample = spark.createDataFrame([(k, f"{w} words", lang) for k in range(20) for w, lang in (("the", "en"), ("les", "fr"))], "doc_id long, text string, lang string")
+    told = [
+        (langid.identify(frame, langid.train(sample, F.lit(True)), "text"), ("lang_pred", "score", "rejected")),
+        (toxicity.score(frame, toxicity.train(sample, spark.createDataFrame([], "doc_id long, toxic int")), text="text"), ("score", "predicted")),
+        (lm.score(frame, lm.train(sample, F.lit(True)), "text"), ("n_tokens", "n_known", "base_score", "score")),
+    ]
+    for out, new in told:
+        assert [c for c in out.columns if c in new] == list(new) and len({c.lower() for c in out.columns}) == len(out.columns)
+        got = out.collect()
+        assert len(got) == rows and {"whole", "_whole", "c0", "TEXT"} <= set(out.columns)
+        assert not rows or got[0] == got[1]
+
+
 # --- near-duplicates -------------------------------------------------------------------------------------------------------
 
 
@@ -328,6 +387,45 @@ def test_budget_of_closed_leaves_goes_to_other_domains(spark):
     assert got == {("d0", "en"): 100, ("d0", "xx"): 0, ("d1", "en"): 900}
 
 
+def rounds(node, given):
+    """Token by token down a tree {name: (weight, subtree or tokens)}: each goes to the child that has least of its weight and still can take one."""
+    out = {}
+
+    def room(sub):
+        return sub if isinstance(sub, int) else sum(room(x) for w, x in sub.values() if w > 0)
+
+    def give(sub, path, n):
+        if isinstance(sub, int):
+            out[path] = n
+            return
+        took = dict.fromkeys(sub, 0)
+        for _ in range(n):
+            ready = [k for k, (w, x) in sub.items() if w > 0 and took[k] < room(x)]
+            took[min(ready, key=lambda k: ((took[k] + 1) / sub[k][0], k))] += 1
+        for k, (_, x) in sub.items():
+            give(x, (*path, k), took[k])
+
+    give(node, (), min(given, room(node)))
+    return out
+
+
+def test_budgets_against_rounds_with_closed_nodes(spark):
+    tree = {
+        "a": (0.5, {"x": (0.0, {"s": (1.0, 1000)}), "y": (1.0, {"s": (1.0, 10)})}),
+        "b": (0.5, {"x": (1.0, {"s": (1.0, 700), "t": (1.0, 100)}), "(none)": (2.0, {"(none)": (1.0, 300)})}),
+        "c": (0.0, {"x": (1.0, {"s": (1.0, 50)})}),
+    }
+    leaves = [(d, k, s, n) for d, (_, langs) in tree.items() for k, (_, sources) in langs.items() for s, (_, n) in sources.items()]
+    by_domain = spark.createDataFrame([(d, w) for d, (w, _) in tree.items()], "domain string, weight double")
+    by_lang = spark.createDataFrame([(d, k, w) for d, (_, langs) in tree.items() for k, (w, _) in langs.items()], "domain string, lang string, weight double")
+    frame = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    for total in (1005, 300, 5000):
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(frame, F.lit(float(total)), 1, (by_domain, by_lang, None)).collect()}
+        want = rounds(tree, total)
+        assert sum(got.values()) == pytest.approx(min(total, 1110))
+        assert all(abs(got[k] - want[k]) <= 3 for k in want), (got, want)
+
+
 def test_unlisted_languages_have_a_share(spark):
     leaves = spark.createDataFrame([("d", "en", "s", 1000), ("d", "xx", "s", 1000), ("d", "yy", "s", 1000)], "domain string, lang string, source string, tokens long")
     by_lang = spark.createDataFrame([("d", "en", 0.6), ("d", None, 0.4)], "domain string, lang string, weight double")
