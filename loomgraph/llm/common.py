@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -52,6 +53,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of frames that nobody holds any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Ids up to this count, 16 bytes each, may be sent to every executor.
 BROADCAST_IDS = 2_000_000
 

@@ -39,11 +39,15 @@ def _weigh(caps: DataFrame, k: int, table: DataFrame | None) -> DataFrame:
     own = f"w{k}"
     if table is None:
         return caps.withColumn(own, F.lit(1.0))
-    path, parent = list(LEVELS[: k + 1]), ["root", *LEVELS[:k]]
+    path, parent = list(LEVELS[: k + 1]), list(LEVELS[:k])
     last = F.col(LEVELS[k])
     listed = table.where(last.isNotNull()).select(*path, F.col("weight").cast("double").alias(own), F.lit(True).alias("_listed"))
-    others = table.where(last.isNull()).select(F.lit(0).alias("root"), *LEVELS[:k], F.col("weight").cast("double").alias("_others"))
-    read = caps.join(listed, path, "left").join(others, parent, "left")
+    others = table.where(last.isNull()).select(*parent, F.col("weight").cast("double").alias("_others"))
+    read = caps.join(listed, path, "left")
+    if parent:
+        read = read.join(others, parent, "left")
+    else:
+        read = read.withColumn("_others", F.lit(others.agg(F.max("_others")).first()[0]).cast("double"))
     missing = F.size(F.collect_set(F.when(F.col("_listed").isNull(), last)).over(Window.partitionBy(*parent)))
     weight = F.when(F.col("_listed").isNull(), F.col("_others") / F.greatest(missing, F.lit(1))).otherwise(F.col(own))
     return read.withColumn(own, F.coalesce(weight, F.lit(0.0))).drop("_listed", "_others")
@@ -57,17 +61,20 @@ def budgets(leaves: DataFrame, total: Column, epochs: int, weights: Sequence[Dat
     computed from the sum ``tokens``, and is what all leaves can give at most. A leaf can give its tokens ``epochs`` times, or
     nothing if a weight on its path is 0: what nothing can take below a node goes to the node's siblings.
     """
-    caps = leaves.withColumn("root", F.lit(0))
+    caps = leaves
     for k, table in enumerate(weights):
         caps = _weigh(caps, k, table)
     open_ = (F.col("w0") > 0) & (F.col("w1") > 0) & (F.col("w2") > 0)
     caps = caps.withColumn("cap", F.when(open_, F.col("tokens").cast("double") * epochs).otherwise(0.0))
-    level = caps.groupBy("root").agg(F.sum("cap").alias("cap"), F.sum("tokens").cast("double").alias("tokens")).select("root", F.least(total, F.col("cap")).alias("given"))
-    parent = ["root"]
+    whole = Window.partitionBy()  # of the leaves, one row for each source
+    sums = caps.withColumn("_own", F.col("tokens")).withColumn("_caps", F.sum("cap").over(whole)).withColumn("tokens", F.sum("_own").over(whole).cast("double"))
+    caps = sums.withColumn("_root", F.least(total, F.col("_caps"))).withColumn("tokens", F.col("_own")).drop("_own", "_caps")
+    level, parent = None, []
     for k in range(len(LEVELS)):
         path = [*parent, LEVELS[k]]
-        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max(f"w{k}").alias("weight"))
-        level = water_fill(nodes.join(level, parent), parent, "given", "cap", "weight", "share").select(*path, F.col("share").alias("given"))
+        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max(f"w{k}").alias("weight"), F.max("_root").alias("given"))
+        nodes = nodes if level is None else nodes.drop("given").join(level, parent)
+        level = water_fill(nodes, parent, "given", "cap", "weight", "share").select(*path, F.col("share").alias("given"))
         parent = path
     return caps.join(level.withColumnRenamed("given", "budget"), list(LEVELS)).select(*LEVELS, "tokens", "budget")
 

@@ -88,7 +88,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 5) == 1
-    model = lm.train(docs, ~held)
+    model = lm.train(docs, ~held, order=3)
     scored = lm.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

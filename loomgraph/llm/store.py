@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -40,7 +42,10 @@ def get(folder: str, name: str) -> np.ndarray:
     """The array, mapped: from the shared folder if that is mounted, else from a copy that the executor keeps."""
     path = _local(folder)
     if path is None:
-        path = _LOCAL.get(folder) or _LOCAL.setdefault(folder, tempfile.mkdtemp(prefix="arrays-"))
+        path = _LOCAL.get(folder)
+        if path is None:
+            path = _LOCAL[folder] = tempfile.mkdtemp(prefix="arrays-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
         if not os.path.exists(f"{path}/{name}.npy"):
             from pyarrow import fs
 
@@ -52,6 +57,11 @@ def get(folder: str, name: str) -> np.ndarray:
     return np.load(f"{path}/{name}.npy", mmap_mode="r")
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the smallest type that holds them all."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 def planes(values: np.ndarray) -> bytes:
     """Integers as byte planes, which compress well where high bytes are alike."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()

@@ -448,46 +448,78 @@ def test_language_stage_names_the_language(spark, data):
 # --- language model --------------------------------------------------------------------------------------------------------
 
 
-def brute_model(texts):
-    grams, counts = Counter(), Counter()
+def brute_model(texts, order):
+    """(training counts, probability of (context, word)) of interpolated modified Kneser-Ney, written down level by level."""
+    counts, grams = Counter(), Counter()
     for t in texts:
         words = [*t.encode().lower().split(), lm.END]
         counts.update(words)
-        grams.update(zip([lm.END, *words], words))
-    n = Counter(grams.values())
-    d = lm.discounts([n[k] for k in (1, 2, 3, 4)])
-    before = Counter(w for _, w in grams)
-    m = Counter(before.values())
-    e = lm.discounts([m[k] for k in (1, 2, 3, 4)])
-    cut = lambda c, x: 0.0 if c == 0 else x[min(c, 3) - 1]
-    rest = sum(cut(c, e) for c in before.values()) / len(grams)
-
-    def p(u, w):
-        low = max(before[w] - cut(before[w], e), 0) / len(grams) + rest / (len(counts) + 1)
-        if not counts[u]:
+        padded = [lm.END] * (order - 1) + words
+        grams.update(tuple(padded[k : k + order]) for k in range(len(words)))
+    levels = {order: grams}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    cuts, totals, rests = {}, defaultdict(int), defaultdict(float)
+    for n, table in levels.items():
+        times = Counter(table.values())
+        cuts[n] = lm.discounts([times[k] for k in (1, 2, 3, 4)])
+        for g, c in table.items():
+            totals[n, g[:-1]] += c
+            rests[n, g[:-1]] += cuts[n][min(c, 3) - 1]
+
+    def p(context, word):
+        n = len(context) + 1
+        low = p(context[1:], word) if n > 1 else 1 / (len(counts) + 1)
+        if not totals[n, context]:
             return low
-        gamma = sum(cut(c, d) for (a, _), c in grams.items() if a == u) / counts[u]
-        return max(grams[u, w] - cut(grams[u, w], d), 0) / counts[u] + gamma * low
+        c = levels[n][(*context, word)]
+        return ((c - cuts[n][min(c, 3) - 1] if c else 0) + rests[n, context] * low) / totals[n, context]
 
     return counts, p
 
 
-def test_model_against_brute_force(spark):
+@pytest.mark.parametrize(("order", "wide"), [(2, False), (3, False), (4, False), (3, True)])
+def test_model_against_brute_force(spark, monkeypatch, order, wide):
     rng = np.random.default_rng(8)
-    texts = [" ".join(f"W{int(k)}" for k in rng.zipf(1.6, rng.integers(0, 40)) % 50) for _ in range(80)] + [None, "\x1cé é x\v y"]
+    texts = [" ".join(f"W{int(k)}" for k in rng.zipf(1.6, rng.integers(0, 40)) % 50) for _ in range(80)] + [None, "\x1cé é x\v y"]
+    if wide:  # ids that don't fit together in 64 bits; whole texts above the size of a part, repeated rows
+        texts += ["word " * 300_000] + ["said twice and the same"] * 2
+        fits = lm.Keys.__init__
+        monkeypatch.setattr(lm.Keys, "__init__", lambda self, v, n: fits(self, max(v, 1 << 30), n))
+        coder = lm.Keys(9, 3)
+        keys, n = coder.combine(coder.pack([np.array([2, 1, 2]), np.array([5, 1, 5]), np.array([0, 7, 0])]))
+        assert not coder.one and n.tolist() == [1, 2] and coder.from_bytes(coder.to_bytes(keys)).tolist() == [[1, 2], [1, 5], [7, 0]]
     given = docs(spark, texts).repartition(3)
-    model = lm.train(given, F.col("doc_id") % 4 != 0)
-    counts, p = brute_model([(t or "") for k, t in enumerate(texts) if k % 4])
+    model = lm.train(given, F.col("doc_id") % 4 != 0, order=order)
+    counts, p = brute_model([(t or "") for k, t in enumerate(texts) if k % 4], order)
     assert (model.tokens, model.vocabulary) == (sum(counts.values()), len(counts))
     for r in lm.score(given, model).collect():
         words = [*(texts[r.doc_id] or "").encode().lower().split(), lm.END]
         assert r.n_tokens == len(words) and r.n_known == sum(counts[w] > 0 for w in words)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (model.tokens + 0.5 * (len(counts) + 1))) for w in words))
-        assert r.score == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip([lm.END, *words], words)))
-    known = next(iter(counts))
+        padded = [lm.END] * (order - 1) + words
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(words)))
+    known = tuple(list(counts)[: order - 1])
     assert sum(p(known, w) for w in counts) + p(known, b"new") == pytest.approx(1)
-    none = lm.train(given, F.lit(False))
+    none = lm.train(given, F.lit(False), order=order)
     assert lm.score(given, none).where("n_known > 0").count() == 0
+    assert lm.score(given.limit(0), model).count() == 0
+
+
+def test_frequent_context_words_are_divided():
+    context, before = np.zeros(1000, np.uint64), np.arange(1000, dtype=np.uint64)
+    apart = lm._shard(context, before, np.full(1000, 500), 1000, 16)
+    assert len(set(apart.tolist())) > 4 and len(set(lm._shard(context, before, np.full(1000, 60), 1000, 16).tolist())) == 1
+    hashed = np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64)
+    kept = {}
+    put, lm.put = lm.put, lambda folder, name, array: kept.__setitem__(name, array)
+    try:
+        order = lm.write_hashed("", "x", hashed)
+    finally:
+        lm.put = put
+    at, hit = lm.find_hashed(kept["x-buckets"], kept["x-rest"], hashed)
+    assert hit.all() and (hashed[order][at] == hashed).all()
+    assert not lm.find_hashed(kept["x-buckets"], kept["x-rest"], hashed + np.uint64(1 << 20))[1].any()
 
 
 # --- urls ---------------------------------------------------------------------------------------------------------------------
