@@ -23,7 +23,7 @@ _PART = 1 << 20
 _BLANKS = b" \t\n\v\f\r"
 UNKNOWN = np.int64(-1)
 #: Tokens that are looked up together; tokens whose n-grams a task counts before it passes them on.
-CHUNK, HOLD = 400_000, 4_000_000
+CHUNK, HOLD = 200_000, 1_200_000
 _STEP = np.uint64(0xD1342543DE82EF95)
 #: What is known of a context: the sum of its counts, and how many words follow it that are counted once, twice, more often.
 STATS = 4

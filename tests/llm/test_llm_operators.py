@@ -519,7 +519,7 @@ def test_frequent_context_words_are_divided():
         lm.put = put
     at, hit = lm.find_hashed(kept["x-buckets"], kept["x-rest"], hashed)
     assert hit.all() and (hashed[order][at] == hashed).all()
-    assert not lm.find_hashed(kept["x-buckets"], kept["x-rest"], hashed + np.uint64(1 << 20))[1].any()
+    assert not lm.find_hashed(kept["x-buckets"], kept["x-rest"], hashed + np.uint64(1 << 40))[1].any()
 
 
 # --- urls ---------------------------------------------------------------------------------------------------------------------
