@@ -192,43 +192,46 @@ def _count_words(texts: DataFrame, folder: str, bits: int) -> tuple[np.ndarray,
 
 
 class Keys:
-    """N-grams of word ids as rows of unsigned 64-bit integers that sort as the columns do: one row where the ids fit together, else one a column."""
+    """N-grams of word ids as rows of unsigned 64-bit integers that sort as the columns do: the first row holds as many columns as fit, others one each."""
 
     def __init__(self, vocabulary: int, columns: int):
-        self.width, self.columns = max(1, vocabulary.bit_length()), columns
-        self.one = self.width * columns <= 64
+        self.width = max(1, vocabulary.bit_length())
+        self.first = min(columns, 64 // self.width)
+        self.rows = 1 + columns - self.first
 
     def pack(self, columns: list[np.ndarray]) -> np.ndarray:
-        columns = [c.astype(np.uint64) for c in columns]
-        if not self.one:
-            return np.stack(columns)
-        out = columns[0]
-        for c in columns[1:]:
-            out = out << np.uint64(self.width) | c
-        return out[None]
+        out = columns[0].astype(np.uint64)
+        for c in columns[1 : self.first]:
+            out = out << np.uint64(self.width) | c.astype(np.uint64)
+        return np.stack([out, *(c.astype(np.uint64) for c in columns[self.first :])])
 
     def unpack(self, keys: np.ndarray) -> list[np.ndarray]:
-        if not self.one:
-            return list(keys)
         low = np.uint64((1 << self.width) - 1)
-        return [keys[0] >> np.uint64(self.width * k) & low for k in range(self.columns - 1, -1, -1)]
+        return [*(keys[0] >> np.uint64(self.width * k) & low for k in range(self.first - 1, -1, -1)), *keys[1:]]
 
     def combine(self, keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Sorted different keys and the sums of their counts ``n``, 1 each if not given."""
-        if self.one and n is None:
+        if not keys.shape[1]:
+            return keys, np.empty(0, np.uint64)
+        if self.rows == 1 and n is None:
             keys = np.sort(keys, axis=1)
         else:
-            order = np.argsort(keys[0], kind="stable") if self.one else np.lexsort(keys[::-1])
+            one = keys[0]
+            for k in keys[1:]:  # the rank of what is before, with a column behind it
+                one = np.unique(one, return_inverse=True)[1].astype(np.uint64) << np.uint64(self.width) | k
+            order = np.argsort(one)
             keys, n = keys[:, order], None if n is None else n[order]
-        first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if keys.shape[1] else np.empty(0, np.int64)
-        sums = np.diff(np.r_[first, keys.shape[1]]) if n is None else np.add.reduceat(n, first) if len(first) else n
+        first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        sums = np.diff(np.r_[first, keys.shape[1]]) if n is None else np.add.reduceat(n, first)
         return keys[:, first], sums.astype(np.uint64)
 
     def to_bytes(self, keys: np.ndarray) -> bytes:
-        return pack_sorted(keys[0]) if self.one else planes(np.ascontiguousarray(keys).ravel())
+        """Of sorted keys: the first row as differences."""
+        return b"".join([pack_sorted(keys[0]), *map(planes, keys[1:])])
 
     def from_bytes(self, data: bytes) -> np.ndarray:
-        return unpack_sorted(data)[None] if self.one else unplanes(data, "<u8").reshape(self.columns, -1)
+        size = len(data) // self.rows
+        return np.stack([unpack_sorted(data[:size]), *(unplanes(data[k * size : (k + 1) * size], "<u8") for k in range(1, self.rows))])
 
 
 def gram_hash(words: list[np.ndarray]) -> np.ndarray:
@@ -274,14 +277,14 @@ def find_hashed(buckets: np.ndarray, rest: np.ndarray, hashed: np.ndarray) -> tu
     bits = (len(buckets) - 1).bit_length() - 1
     top = (hashed >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashed), np.int64)
     want = (hashed << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
-    low, high = buckets[top].astype(np.int64), buckets[top + 1].astype(np.int64)
-    stop = high.copy()
-    for _ in range(int((high - low).max(initial=0)).bit_length()):
-        middle = (low + high) >> 1
-        less = (low < high) & (rest[np.minimum(middle, len(rest) - 1)] < want)
-        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
-    at = np.minimum(low, max(len(rest) - 1, 0))
-    return at, (low < stop) & (rest[at] == want) if len(rest) else np.zeros(len(hashed), bool)
+    if not len(rest):
+        return np.zeros(len(hashed), np.int64), np.zeros(len(hashed), bool)
+    low, stop = buckets[top].astype(np.int64), buckets[top + 1].astype(np.int64)
+    for k in range(int((stop - low).max(initial=0)).bit_length() - 1, -1, -1):  # past 2**k values, if all of them are smaller
+        last = low + ((1 << k) - 1)
+        low += ((last < stop) & (rest.take(last, mode="clip") < want)).astype(np.int64) << k
+    at = np.minimum(low, len(rest) - 1)
+    return at, (low < stop) & (rest[at] == want)
 
 
 def _write_grams(folder: str, level: int, shard: int, hashed: np.ndarray, n: np.ndarray) -> None:
@@ -308,7 +311,7 @@ _TYPES = "level int, place int, types array<long>"
 
 def _by_shard(keys: np.ndarray, n: np.ndarray, shard: np.ndarray, coder: Keys) -> list[tuple]:
     """Rows (shard, keys, counts) of sorted keys."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.min_scalar_type(int(shard.max(initial=0)))), kind="stable")
     keys, n, shard = keys[:, order], n[order], shard[order]
     first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
     return [(int(shard[a]), coder.to_bytes(keys[:, a:b]), planes(n[a:b])) for a, b in zip(first, [*first[1:], len(shard)], strict=True)]
@@ -337,33 +340,34 @@ def _count_grams(texts: DataFrame, model: Model) -> DataFrame:
     arrow, order, coder = arrow_schema(_PAIRS), model.order, Keys(model.vocabulary, model.order)
     folder, bits, starts, tokens, shards = model.folder, model.bits, model.starts, model.tokens, model.shards
 
-    def deal(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = coder.combine(np.concatenate(held, axis=1))
+    def deal(stream: np.ndarray, end: int) -> pa.RecordBatch:
+        """Of words, with order - 1 that were before them: sorted by their ranks among themselves, which fit together more often than ids."""
+        own, rank = np.unique(stream, return_inverse=True)
+        columns = _histories(rank[order - 1 :], rank[: order - 1], order, int(np.searchsorted(own, end)))
+        local = Keys(len(own), order)
+        keys, n = local.combine(local.pack([*columns[1:], columns[0]]))
+        ranks = local.unpack(keys)
+        keys = coder.pack([own[r] for r in ranks])
         if order == 2:
             return to_batch(_pairs_by_shard(keys, n, coder, shards), arrow)
-        context, before = coder.unpack(keys)[:2]
-        own, back = np.unique(context, return_inverse=True)
-        counts = _counts_of(folder, starts, own.astype(np.int64))[back]
-        return to_batch(_by_shard(keys, n, _shard(context, before, counts, tokens, shards), coder), arrow)
+        counts = _counts_of(folder, starts, own)
+        return to_batch(_by_shard(keys, n, _shard(own[ranks[0]], own[ranks[1]], counts[ranks[0]], tokens, shards), coder), arrow)
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(folder, bits, starts)
         tidy(_VOCABULARIES)
         end = int(words.ids([END])[0])
-        held, size = [], 0
+        held, size = [np.full(order - 1, end)], 0
         for frame in frames:
-            last = np.full(order - 1, end)
             for part, _ in chunks(_texts(frame)):
-                ids = words.ids(part)
-                columns = _histories(ids, last, order, end)
-                last = np.r_[last, ids][-(order - 1) :]
-                held.append(coder.pack([*columns[1:], columns[0]]))
+                held.append(words.ids(part))
                 size += len(part)
                 if size >= HOLD:
-                    yield deal(held)
-                    held, size = [], 0
-        if held:
-            yield deal(held)
+                    stream = np.concatenate(held)
+                    yield deal(stream, end)
+                    held, size = [stream[-(order - 1) :]], 0
+        if size:
+            yield deal(np.concatenate(held), end)
 
     return texts.mapInArrow(count, _PAIRS)
 
@@ -514,7 +518,7 @@ class Scorer:
 
     def _divided(self, level: int, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, rows of it), of the shards that hold something."""
-        order = np.argsort(shard.astype(np.uint32), kind="stable")
+        order = np.argsort(shard.astype(np.min_scalar_type(self.model.shards)), kind="stable")
         edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
         for k in np.flatnonzero(np.diff(edges)):
             if self.model.present[level][k]:
@@ -541,9 +545,9 @@ class Scorer:
     def logs(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token, given with the words before it: its training count, log10 of the base and of the model's probability."""
         m, n = self.model, len(columns[0])
-        both, back = np.unique(np.r_[columns[0], columns[1]], return_inverse=True)
+        both, back = np.unique(np.r_[columns[1][:1], columns[0]], return_inverse=True)
         counts, table = self.of_words(both)
-        w, u = back[:n], back[n:]
+        w, u = back[1:], back[:-1]
         base = np.log10((counts + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1)))
         lower = m.lower_rest / (m.vocabulary + 1)
         if not m.tokens:

@@ -64,7 +64,7 @@ def narrow(values: np.ndarray) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """Integers as byte planes, which compress well where high bytes are alike."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, dtype: str) -> np.ndarray:

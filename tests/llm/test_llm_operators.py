@@ -488,7 +488,7 @@ def test_model_against_brute_force(spark, monkeypatch, order, wide):
         monkeypatch.setattr(lm.Keys, "__init__", lambda self, v, n: fits(self, max(v, 1 << 30), n))
         coder = lm.Keys(9, 3)
         keys, n = coder.combine(coder.pack([np.array([2, 1, 2]), np.array([5, 1, 5]), np.array([0, 7, 0])]))
-        assert not coder.one and n.tolist() == [1, 2] and coder.from_bytes(coder.to_bytes(keys)).tolist() == [[1, 2], [1, 5], [7, 0]]
+        assert coder.rows == 2 and n.tolist() == [1, 2] and [c.tolist() for c in coder.unpack(coder.from_bytes(coder.to_bytes(keys)))] == [[1, 2], [1, 5], [7, 0]]
     given = docs(spark, texts).repartition(3)
     model = lm.train(given, F.col("doc_id") % 4 != 0, order=order)
     counts, p = brute_model([(t or "") for k, t in enumerate(texts) if k % 4], order)
