@@ -64,12 +64,12 @@ BROADCAST_IDS = 2_000_000
 
 
 def having(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` is in ``ids`` (one column, distinct, written down): these are broadcast if they are counted to be few.
+    """The rows whose ``key`` is in ``ids`` (one column, distinct, written down), null for null: these are broadcast if they are counted to be few.
 
     Then the rows, which can hold whole texts, are not shuffled; beyond the bound they are.
     """
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    few, wanted = ids.count() <= BROADCAST_IDS, ids.toDF("wanted_key")
+    return rows.join(F.broadcast(wanted) if few else wanted, F.col(key).eqNullSafe(F.col("wanted_key")), "left_semi")
 
 
 def fold(column: str | Column, n: int) -> Column:

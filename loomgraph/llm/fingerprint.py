@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, having, materialise, to_batch
@@ -32,12 +32,13 @@ def settle(digests: DataFrame, pairs: list[tuple[str, str, str]], texts: Callabl
     """Add fingerprint columns: the digest, or digest and SHA-256 where a digest stands for differing canonical texts.
 
     ``pairs``: (digest column, SHA-256 column, name of the fingerprint). ``texts(repeated)`` gives the texts behind the
-    digests in ``repeated``. The smallest and the largest canonical bytes of each equal bucket are compared; both combine
-    before the shuffle, so a bucket of any size is reduced where it is read.
+    digests in ``repeated``. The smallest and the largest canonical bytes of each equal bucket are compared, and the SHA-256 of all
+    rows, also of those whose texts can't be found again; both combine before the shuffle, so a bucket of any size is reduced where it is read.
     """
-    both = [digests.select(F.col(d).alias("digest")) for d, _, _ in pairs]
+    both = [digests.select(F.col(d).alias("digest"), F.unhex(sha).alias("sha")) for d, sha, _ in pairs]
     all_of = both[0] if len(both) == 1 else both[0].unionByName(both[1])
-    repeated = materialise(all_of.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "repeated-digests")
+    counted = all_of.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), (F.min("sha") != F.max("sha")).alias("differ"))
+    repeated = materialise(counted.where("n > 1").select("digest", "differ"), "repeated-digests")
     schema = "digest string, canonical binary"
     arrow = arrow_schema(schema)
 
@@ -45,9 +46,9 @@ def settle(digests: DataFrame, pairs: list[tuple[str, str, str]], texts: Callabl
         for frame in frames:
             yield to_batch([(check(x), x) for x in map(canonical, frame.column(0).to_pylist())], arrow)
 
-    folded = texts(repeated).mapInArrow(fold, schema)
+    folded = texts(repeated.select("digest")).mapInArrow(fold, schema)
     buckets = folded.groupBy("digest").agg(F.min("canonical").alias("a"), F.max("canonical").alias("z"))
-    collided = materialise(buckets.where("a != z").select("digest"), "collided-digests")
+    collided = materialise(buckets.where("a != z").select("digest").union(repeated.where("differ").select("digest")).distinct(), "collided-digests")
     some = not collided.isEmpty()
     out = digests
     for name, sha, fingerprint in pairs:
@@ -117,8 +118,9 @@ def edit_sensitivity(documents: DataFrame, id_column: str = "doc_id", text: str
     near_next, 1.0 where the canonical bytes are equal and 0.0 elsewhere. The last document is followed by the first,
     a lone one by itself; ids that tie are ordered by text, null ids come first; null texts are empty; no rows give no rows.
 
-    Texts are shuffled once, into ranges of ids. A task hands its first and last document on, two rows for each
-    task, and those meet their neighbours afterwards.
+    Texts are shuffled once, into ranges of ids. A task hands its first and last document on, and the last of one task meets
+    the first of the next by the tasks' numbers. Texts with equal digests are found again by their ids and compared byte by byte;
+    edited texts next to a null or repeated id, which can't be found so, are compared by their SHA-256.
     """
     schema = f"{_EDIT}, task int, first_id long, first_text string, last_id long, last_text string"
     arrow = arrow_schema(schema)
@@ -142,26 +144,30 @@ def edit_sensitivity(documents: DataFrame, id_column: str = "doc_id", text: str
             yield to_batch([(*[None] * width, TaskContext.get().partitionId(), *first[:2], *last[:2])], arrow)
 
     def join_ends(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = sorted(x for frame in frames for x in zip(*(c.to_pylist() for c in frame.columns), strict=True))
-        for k, (_, _, _, last_id, last_text) in enumerate(ends):
-            _, next_id, following, _, _ = ends[(k + 1) % len(ends)]
-            yield to_batch([_compare(last_id, last_text, canonical(last_text), next_id, following, canonical(following))], plain)
+        for frame in frames:
+            rows = zip(*(c.to_pylist() for c in frame.columns), strict=True)
+            yield to_batch([_compare(k, words, canonical(words), next_id, after, canonical(after)) for k, words, next_id, after in rows], plain)
 
     plain = arrow_schema(_EDIT)
     read = _read(documents, id_column, text)
     names = [x.split()[0] for x in _EDIT.split(", ")]
     ranged = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     found = materialise(ranged.mapInArrow(run, schema), "edits")
-    ends = found.where("task is not null").select("task", "first_id", "first_text", "last_id", "last_text").coalesce(1)
-    out = found.where("task is null").select(*names).unionByName(ends.mapInArrow(join_ends, _EDIT))
+    ends = found.where("task is not null")
+    numbers = Window.orderBy("task")  # of the tasks' numbers alone
+    numbered = ends.select("task").withColumn("next_task", F.coalesce(F.lead("task").over(numbers), F.first("task").over(numbers)))
+    meeting = ends.select("task", "last_id", "last_text").join(numbered, "task").join(ends.select(F.col("task").alias("next_task"), "first_id", "first_text"), "next_task")
+    joined = meeting.select("last_id", "last_text", "first_id", "first_text").mapInArrow(join_ends, _EDIT)
+    out = found.where("task is null").select(*names).unionByName(joined)
 
     def texts(repeated: DataFrame) -> DataFrame:
         own = materialise(out.join(repeated, "digest", "left_semi").select("doc_id").distinct(), "repeated-own")
         changed = materialise(out.join(repeated.select(F.col("digest").alias("edited_digest")), "edited_digest", "left_semi").select("doc_id", "next_id").distinct(), "repeated-edited")
         ids = materialise(changed.select("doc_id").union(changed.select("next_id")).distinct(), "repeated-parts")
         parts = materialise(having(read, ids, "doc_id"), "repeated-texts")
-        half, tail = F.floor(F.length("text") / 2).cast("int"), parts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("tail"))
-        with_tail = changed.join(parts, "doc_id").join(tail, "next_id")
+        once = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text")).where("n = 1 and doc_id is not null").select("doc_id", "text")
+        half, tail = F.floor(F.length("text") / 2).cast("int"), once.select(F.col("doc_id").alias("next_id"), F.col("text").alias("tail"))
+        with_tail = changed.join(once, "doc_id").join(tail, "next_id")
         both = with_tail.select(F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("tail", F.lit(1), half)).alias("text"))
         return having(read, own, "doc_id").select("text").unionByName(both)
 

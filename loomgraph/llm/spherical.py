@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil, log, sqrt
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialise, to_batch
+from .common import arrow_schema, materialise, release, tidy, to_batch
 from .components import components_of_ids, least_reached
 
 #: Rows of a filter that one task compares with each other or with as many others.
@@ -143,11 +143,12 @@ def _unit(values: list) -> np.ndarray | None:
 
 
 def _spread(vectors: DataFrame, plans: dict[int, Plan]) -> DataFrame:
-    """(node, unit, filters): unit vectors as bytes, with the sorted filters that hold them."""
-    schema = "node long, unit binary, filters array<long>"
+    """(node, sketch, scale, error, filters): each component in a byte, its unit, how far the sketch is from the vector, and the filters that hold it."""
+    schema = "node long, sketch binary, scale double, error double, filters array<long>"
     arrow = arrow_schema(schema)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         codes: dict[int, Codes] = {}
         for frame in frames:
             for start in range(0, frame.num_rows, 512):
@@ -162,7 +163,10 @@ def _spread(vectors: DataFrame, plans: dict[int, Plan]) -> DataFrame:
                     at, filters = codes[dim].decode(unit)
                     lists = np.split(filters, np.searchsorted(at, np.arange(1, len(own))))
                     salt = np.int64(dim) << np.int64(40)  # vectors of different lengths never meet
-                    yield to_batch([(n, d, np.sort(f + salt).tolist()) for (n, d), f in zip(own, lists, strict=True)], arrow)
+                    scale = np.abs(unit).max(axis=1) / 127
+                    sketch = np.rint(unit / scale[:, None]).astype(np.int8)
+                    error = np.linalg.norm(unit - sketch * scale[:, None], axis=1)
+                    yield to_batch([(n, q.tobytes(), s, e, np.sort(f + salt).tolist()) for (n, _), q, s, e, f in zip(own, sketch, scale.tolist(), error.tolist(), lists, strict=True)], arrow)
 
     return vectors.mapInArrow(run, schema)
 
@@ -198,46 +202,77 @@ def _compare(nodes: np.ndarray, units: np.ndarray, filters: list[np.ndarray], co
     return [(int(nodes[k]), int(links[k]), int(nodes[label[k]])) for k in some]
 
 
-def _join(spread: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, least) of every block that holds a link; the link counts of different blocks add up.
+def _dealt(each: DataFrame, held: DataFrame) -> DataFrame:
+    """Each (node, filter) whose filter others share, with the columns of ``held``, in blocks: filter, low, high, side, filters, node, ...
 
-    A row takes along the filters before its own that others share, which is what finding the first common one needs.
+    A filter is cut into blocks of BLOCK rows, and each pair of blocks is a group. ``filters`` are those up to this one that others share.
     """
-    each = spread.select("node", F.explode("filters").alias("filter"))
     sizes = each.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    shared = each.join(sizes, "filter").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("filter", "blocks"))).alias("shared"))  # the vectors stay where they are
-    held = spread.select("node", "unit").join(shared, "node").join(copies, "node").withColumn("filters", F.col("shared.filter"))
-    rows = held.select("node", "unit", "filters", "copies", F.posexplode("shared").alias("at", "one")).select("node", "unit", F.slice("filters", F.lit(1), F.col("at")).alias("filters"), "copies", "one.*")
+    shared = each.join(sizes, "filter").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("filter", "blocks"))).alias("shared"))  # what is held stays where it is
+    rows = held.join(shared, "node").select(*held.columns, F.col("shared.filter").alias("every"), F.posexplode("shared").alias("at", "one"))
+    rows = rows.select(*held.columns, F.slice("every", F.lit(1), F.col("at")).alias("filters"), "one.*")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("filter", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "unit", "filters", "copies")
-    schema = "node long, links long, least long"
-    arrow = arrow_schema(schema)
+    placed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("filter", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "filters", *held.columns)
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, found = None, [], []
 
-        def compared() -> list[tuple]:
-            if len(rows) < 2:
-                return []
-            side, node, unit, filters, copies = zip(*rows, strict=True)
-            units = np.frombuffer(b"".join(unit), "<f8").reshape(len(rows), -1)
-            return _compare(np.array(node), units, [np.array(f) for f in filters], np.array(copies, float), np.array(side), key[0], key[1] == key[2], threshold)
+def _by_block(dealt: DataFrame, schema: str, compare: Callable[[tuple, list[tuple]], list[tuple]]) -> DataFrame:
+    """What ``compare`` gives for the (filter, low, high) and the other columns' rows of each block."""
+    arrow, names = arrow_schema(schema), ("filter", "low", "high")
 
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        key, rows, found = None, [], []
         for frame in frames:
             for f, low, high, *row in zip(*(c.to_pylist() for c in frame.columns), strict=True):
                 if key != (f, low, high):
-                    found += compared()
+                    found += compare(key, rows) if len(rows) > 1 else []
                     key, rows = (f, low, high), []
                 rows.append(row)
             yield to_batch(found, arrow)
             found = []
-        yield to_batch(compared(), arrow)
+        yield to_batch(compare(key, rows) if len(rows) > 1 else [], arrow)
 
-    names = ("filter", "low", "high")
     return dealt.repartition(*names).sortWithinPartitions(*names, "side", "node").mapInArrow(run, schema)
 
 
+def _likely(spread: DataFrame, threshold: float) -> DataFrame:
+    """The (node, filter) where a sketch says that a vector can have a link, one row for each, whatever the number of its partners.
+
+    A sketch's inner product is off by no more than the errors of the two allow, so no pair that reaches the threshold is lost.
+    """
+    dealt = _dealt(spread.select("node", F.explode("filters").alias("filter")), spread.select("node", "sketch", "scale", "error")).drop("filters")
+
+    def compare(key: tuple, rows: list[tuple]) -> list[tuple]:
+        side, node, sketch, scale, error = zip(*rows, strict=True)
+        side, scale, error = np.array(side), np.array(scale, np.float32), np.array(error, np.float32)
+        near = np.frombuffer(b"".join(sketch), np.int8).reshape(len(rows), -1).astype(np.float32) * scale[:, None]
+        alone = key[1] == key[2]
+        first, second = np.flatnonzero(side == 0), np.arange(len(rows)) if alone else np.flatnonzero(side == 1)
+        slack = error[first, None] + error[second] + error[first, None] * error[second] + 1e-5
+        hit = near[first] @ near[second].T >= threshold - slack
+        if alone:
+            np.fill_diagonal(hit, False)
+        some = np.union1d(first[hit.any(axis=1)], second[hit.any(axis=0)])
+        return [(node[k], key[0]) for k in some]
+
+    return _by_block(dealt, "node long, filter long", compare).distinct()
+
+
+def _join(likely: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, least) of every block that holds a link; the link counts of different blocks add up.
+
+    ``likely``: (node, filter). Two vectors with a link are likely in each filter that both are in, so a pair counts in the first of them.
+    """
+
+    def compare(key: tuple, rows: list[tuple]) -> list[tuple]:
+        side, filters, node, unit, copies = zip(*rows, strict=True)
+        units = np.frombuffer(b"".join(unit), "<f8").reshape(len(rows), -1)
+        return _compare(np.array(node), units, [np.array(f) for f in filters], np.array(copies, float), np.array(side), key[0], key[1] == key[2], threshold)
+
+    return _by_block(_dealt(likely, nodes.select("node", "unit", "copies")), "node long, links long, least long", compare)
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float = 24.0, hits: float = 8.0, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
@@ -247,8 +282,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float =
     different lengths; a null id is a row whose component is null. No rows give no rows; other columns don't matter.
 
     The caps shrink as the table grows, so that a filter holds about ``per_filter`` unrelated vectors at any size. A filter
-    that holds more is cut into blocks, and each pair of blocks is a group of its own; links are counted there, in the first
-    filter that two vectors share, and never become rows. The number of rotations is such that of random pairs
+    that holds more is cut into blocks, and each pair of blocks is a group of its own. Sketches of a byte for each component go
+    there first, and vectors only where a sketch finds a possible link; links are counted in the first filter that two vectors share,
+    and never become rows. The number of rotations is such that of random pairs
     at the threshold, ``RECALL`` or more share a filter, whatever the number of vectors and of their components.
     """
     schema = "vec_id long, unit binary"
@@ -266,7 +302,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float =
     dims = nodes.groupBy((F.length("unit") / 8).cast("int").alias("dim")).count().collect()
     plans = {r.dim: Plan.make(r.dim, per_filter, hits, r["count"], threshold) for r in dims}
     spread = materialise(_spread(nodes.select("node", "unit"), plans), "filters")
-    found = materialise(_join(spread, nodes.select("node", "copies"), threshold), "vector-links")
+    likely = materialise(_likely(spread, threshold), "likely-filters")
+    release(spread)
+    found = materialise(_join(likely, nodes, threshold), "vector-links")
+    release(likely)
     label = components_of_ids(found.select("node", "least"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     told = nodes.join(links, "node", "left").join(label, "node", "left").select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
