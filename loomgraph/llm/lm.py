@@ -299,9 +299,12 @@ def _write_level(folder: str, level: int, shard: int, words: list[np.ndarray], n
     first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in context], axis=0)])
     stats = np.stack([np.add.reduceat(x.astype(np.uint64), first) for x in (n, n == 1, n == 2, n >= 3)], axis=1)
     order = write_hashed(folder, f"contexts{level}-{shard}", h[first])
-    kinds, code = np.unique(stats[order], axis=0, return_inverse=True)
-    put(folder, f"contexts{level}-{shard}-kinds", kinds)
-    put(folder, f"contexts{level}-{shard}-code", narrow(code.ravel()))
+    stats, code = stats[order], np.zeros(len(stats), np.uint64)
+    more = np.flatnonzero(stats[:, 0] > 1)  # the others have one word, once
+    _, at, kind = np.unique(gram_hash(list(stats[more].T)), return_index=True, return_inverse=True)
+    code[more] = kind + 1
+    put(folder, f"contexts{level}-{shard}-kinds", np.concatenate([np.array([[1, 1, 0, 0]], np.uint64), stats[more[at]]]))
+    put(folder, f"contexts{level}-{shard}-code", narrow(code))
     return [len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4))]
 
 
@@ -472,7 +475,7 @@ def train(documents: DataFrame, learn: Column, text: str = "text", order: int =
     bits = max(1, math.ceil(math.log2(parts)) - 1)
     folder = new_path(spark, "model")
     starts, tokens = _count_words(texts, folder, bits)
-    model = Model(folder, order, bits, starts, 2 * parts, tokens, int(starts[-1]))
+    model = Model(folder, order, bits, starts, 4 * parts, tokens, int(starts[-1]))
     if not tokens:
         return model
     dealt = _count_grams(texts, model)
@@ -516,27 +519,25 @@ class Scorer:
                 counts[a:b], table[:, a:b] = self._get(f"counts-{k}")[at], self._get(f"table-{k}")[:, at]
         return counts, table
 
-    def _divided(self, level: int, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def divide(self, level: int, shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(shard, rows of it), of the shards that hold something."""
         order = np.argsort(shard.astype(np.min_scalar_type(self.model.shards)), kind="stable")
         edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            if self.model.present[level][k]:
-                yield int(k), order[edges[k] : edges[k + 1]]
+        return [(int(k), order[edges[k] : edges[k + 1]]) for k in np.flatnonzero((np.diff(edges) > 0) & self.model.present[level])]
 
-    def grams(self, level: int, shard: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    def grams(self, level: int, divided: list[tuple[int, np.ndarray]], hashed: np.ndarray) -> np.ndarray:
         """Counts of n-grams, 0 if unseen."""
         out = np.zeros(len(hashed))
-        for k, rows in self._divided(level, shard):
+        for k, rows in divided:
             name = f"grams{level}-{k}"
             at, hit = find_hashed(self._get(f"{name}-buckets"), self._get(f"{name}-rest"), hashed[rows])
             out[rows[hit]] = self._get(f"{name}-counts")[at[hit]]
         return out
 
-    def contexts(self, level: int, shard: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    def contexts(self, level: int, divided: list[tuple[int, np.ndarray]], hashed: np.ndarray) -> np.ndarray:
         """STATS rows, 0 if unseen."""
         out = np.zeros((STATS, len(hashed)))
-        for k, rows in self._divided(level, shard):
+        for k, rows in divided:
             name = f"contexts{level}-{k}"
             at, hit = find_hashed(self._get(f"{name}-buckets"), self._get(f"{name}-rest"), hashed[rows])
             out[:, rows[hit]] = self._get(f"{name}-kinds")[self._get(f"{name}-code")[at[hit]]].T
@@ -558,14 +559,14 @@ class Scorer:
             context = gram_hash(columns[level - 1 : 0 : -1])
             hashed = mix(context * _STEP + columns[0].astype(np.uint64))
             if level == 2:
-                shard, stats = (hashed % np.uint64(m.shards)).astype(np.int64), table[:STATS, u]
+                divided, stats = self.divide(2, (hashed % np.uint64(m.shards)).astype(np.int64)), table[:STATS, u]
             else:
-                shard = _shard(columns[1], columns[2], counts[u], m.tokens, m.shards)
-                stats = self.contexts(level, shard, context)
+                divided = divided if level > 3 else self.divide(3, _shard(columns[1], columns[2], counts[u], m.tokens, m.shards))
+                stats = self.contexts(level, divided, context)
             known = stats[0] > 0
             total = np.where(known, stats[0], 1.0)
             rest = np.where(known, (np.array(m.discounts[level]) @ stats[1:]) / total, 1.0)
-            p = rest * p + np.where(known, cut(level, self.grams(level, shard, hashed)) / total, 0.0)
+            p = rest * p + np.where(known, cut(level, self.grams(level, divided, hashed)) / total, 0.0)
         return counts[w], base[w], np.log10(p)
 
 
