@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -17,6 +18,13 @@ LAYER_RULES = (
     ("config", r"(?i)(^|/)(config|setting|env|constant)\b"),
     ("utility", r"(?i)(^|/)(util|helper|common|shared|lib|pkg)\b"),
 )
+EDITOR_LAYER_RULES = (
+    ("test", r"(^|/)tests?/"),
+    ("config", r"(?i)config|settings"),
+    ("presentation", r"(^|/)(cli|mcp|api|server|web)"),
+    ("data", r"(^|/)(graph|store|db|data)"),
+)
+PRIVATE, DOUBLE_PRIVATE = "^_[a-z]", "^__[a-z]"
 NAMING_RULES = (
     ("UPPER_SNAKE", "^[A-Z][A-Z0-9_]+$"),
     ("PascalCase", "^[A-Z][a-zA-Z0-9]*$"),
@@ -74,7 +82,11 @@ def file_naming_style(path: Column) -> Column:
 
 
 def is_private(name: Column) -> Column:
-    return name.rlike("^_") & ~name.rlike("^__")
+    return F.coalesce(name.rlike(PRIVATE), F.lit(False))
+
+
+def is_double_private(name: Column) -> Column:
+    return F.coalesce(name.rlike(DOUBLE_PRIVATE), F.lit(False))
 
 
 def is_test_path(path: Column, lang: str = "python") -> Column:
@@ -93,9 +105,9 @@ def match_themes(text: Column, themes: Mapping[str, Sequence[str]] = THEMES) ->
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(found))
 
 
-#: Letters that a tokeniser without marks writes as others; one rule for Spark and SQL.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case letters with marks and the letters without, wherever Unicode takes one apart; one rule for Spark and SQL.
+_APART = {chr(c): d[0] for c in range(0xC0, 0x1F00) if (d := unicodedata.normalize("NFD", chr(c))) and len(d) > 1 and chr(c) == chr(c).lower() and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:])}
+MARKED, PLAIN = "".join(_APART), "".join(_APART.values())
 
 
 def words(text: Column) -> Column:
@@ -132,3 +144,34 @@ def html_escape(text: Column) -> Column:
 def round_percent(part: Column, whole: Column) -> Column:
     """Whole percent, halves to even, 0 of nothing."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.bround(100.0 * part / whole))
+
+
+def parse_reply(reply: Column) -> Column:
+    """A model's reply as a map of strings: without a fence around it, and empty if it is no JSON object."""
+    empty = F.create_map().cast("map<string,string>")
+    bare = strip_fence(F.coalesce(reply, F.lit("")))
+    return F.when(bare.rlike(r"^\s*\{"), F.coalesce(F.from_json(bare, "map<string,string>"), empty)).otherwise(empty)
+
+
+def date_of(epoch: Column) -> Column:
+    """The UTC date of seconds since 1970."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(epoch), F.current_timezone()), "yyyy-MM-dd")
+
+
+def minute_stamp(at: Column) -> Column:
+    """A timestamp as notes carry it."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
+
+
+def prompt_entry(kind: Column, name: Column, qualified_name: Column, signature: Column, definition: Column, file: Column, docstring: Column) -> Column:
+    """What a model is told of a symbol."""
+    filled = lambda c: F.when(c != "", c)
+    label = F.coalesce(filled(qualified_name), name, F.lit("?"))
+    sign = F.coalesce(filled(signature), filled(definition), label)
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("["), F.coalesce(kind, F.lit("symbol")), F.lit("] "), label),
+        F.when(sign != label, F.concat(F.lit("   Signature: "), sign)),
+        F.concat(F.lit("   File: "), F.coalesce(file, F.lit(""))),
+        F.when(F.coalesce(docstring, F.lit("")) != "", F.concat(F.lit("   Existing doc: "), F.substring(docstring, 1, 120))).otherwise("   (no existing documentation)"),
+    )

@@ -32,6 +32,17 @@ def symbol_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return told.where("change_type is not null")
 
 
+def file_symbol_diff(before: DataFrame, after: DataFrame, status: DataFrame) -> DataFrame:
+    """:func:`symbol_diff` of the files in ``status`` (path, status); types of files that were added or removed don't count.
+
+    ``before`` and ``after`` have the columns of symbols, with the bare path as their file.
+    """
+    named = status.select(F.col("path").alias("file"), "status")
+    of = lambda rows: rows.join(named.select("file"), "file", "left_semi")
+    changes = symbol_diff(of(before), of(after)).join(named, "file")
+    return changes.where("not (kind = 'type' and status in ('A', 'D'))").select("kind", "name", "qualified_name", "file", "change_type", "detail")
+
+
 def diff_summary(changes: DataFrame) -> DataFrame:
     of = lambda t: F.count_if(F.col("change_type") == t).alias(t)
     return changes.agg(F.count_distinct("file").alias("files_changed"), of("added"), of("removed"), of("modified"))

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 def orphan_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which an end has no node; modules, commits and names that are still open don't count."""
-    ids = nodes.select("node_id")
     real = edges.where("src not like 'module:%' and src not like 'commit:%' and dst not like 'module:%' and dst not like 'commit:%' and dst not like '%:?::%'")
-    no_src = real.join(ids, real["src"] == ids["node_id"], "left_anti")
-    no_dst = real.join(ids, real["dst"] == ids["node_id"], "left_anti")
-    return no_src.unionByName(no_dst).select("src", "dst", "kind").distinct()
+    ids = nodes.select("node_id").distinct()
+    flagged = real.select("src", "dst", "kind").join(ids.select(F.col("node_id").alias("src"), F.lit(True).alias("has_src")), "src", "left").join(ids.select(F.col("node_id").alias("dst"), F.lit(True).alias("has_dst")), "dst", "left")
+    return flagged.where("has_src is null or has_dst is null").select("src", "dst", "kind").distinct()
 
 
 def duplicate_keys(table: DataFrame, *key: str) -> DataFrame:

@@ -58,6 +58,16 @@ def replace_files(raw: Raw, parsed: Raw, deleted: DataFrame) -> Raw:
     return replace(raw, nodes=swap(raw.nodes, parsed.nodes), edges=swap(raw.edges, parsed.edges), todos=swap(raw.todos, parsed.todos), files=swap(raw.files, parsed.files))
 
 
+def counters(parsed_errors: DataFrame, changed_files: DataFrame, deleted: DataFrame, commits: DataFrame) -> DataFrame:
+    """One row: commits_processed, files_updated, files_deleted, errors of an update."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    parts = [n(commits, "commits_processed"), n(changed_files, "files_updated"), n(deleted, "files_deleted"), n(parsed_errors, "errors")]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy().pivot("name", ["commits_processed", "files_updated", "files_deleted", "errors"]).agg(F.first("n"))
+
+
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """A bulk write that Spark's commit protocol makes visible as a whole."""
     writer = df.write.mode("overwrite")

@@ -42,18 +42,19 @@ def config_value(config: DataFrame, key: str, default: str = "") -> DataFrame:
 
 
 def find_definition(nodes: DataFrame, postings: DataFrame, name: str, kind: str | None = None) -> DataFrame:
-    """Exact name, else prefix (10), else full text (10, kinds filtered after the limit): the first that finds anything.
+    """Exact name, else prefix (10), else full text (10, kinds filtered after the limit): the first that finds anything, with its priority.
 
-    One plan: all branches carry a priority and the lowest one present stays.
+    A later branch runs only if those before it found nothing.
     """
     exact = by_name(nodes, name, kind).withColumn("priority", F.lit(1))
+    if not exact.isEmpty():
+        return exact
     prefix = by_prefix(nodes, name, kind, 10).withColumn("priority", F.lit(2))
+    if not prefix.isEmpty():
+        return prefix
     hits = match(postings, name).orderBy("node_id").limit(10)
     text = nodes.join(hits, "node_id", "left_semi").withColumn("priority", F.lit(3))
-    text = text if kind is None else text.where(F.col("kind") == kind)
-    every = exact.unionByName(prefix).unionByName(text)
-    best = every.agg(F.min("priority").alias("priority"))
-    return every.join(F.broadcast(best), "priority")  # one row
+    return text if kind is None else text.where(F.col("kind") == kind)
 
 
 def find_symbol(nodes: DataFrame, postings: DataFrame, name: str, kind: str | None = None) -> DataFrame:
@@ -116,3 +117,13 @@ def test_coverage(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:
     """Tests of a symbol with their confidence, 0.0 where none is given; unknown tests have null names."""
     covering = edges.where((F.col("kind") == "tests") & (F.col("dst") == symbol)).select(F.col("src").alias("node_id"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     return covering.join(nodes.select("node_id", "name", "file"), "node_id", "left").select("node_id", "name", "file", "confidence")
+
+
+def edge_details(edges: DataFrame, kind: str, column: str = "meta") -> DataFrame:
+    """Edges of a kind whose details, JSON in ``column``, can be read; the others are skipped."""
+    return edges.where((F.col("kind") == kind) & F.try_parse_json(column).isNotNull())
+
+
+def file_hash(files: DataFrame, path: str) -> DataFrame:
+    """One row, sha256: what is stored of the file, null if it is unknown."""
+    return files.where(F.col("path") == path).agg(F.first("sha256").alias("sha256"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import html
 import json
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens
 from ..schema import bare_path
-from . import rank, stats, themes
+from . import rank, stats, themes, traverse
 from .lookup import public_api, todos
 
 
@@ -79,6 +80,65 @@ def graph_view(nodes: DataFrame, edges: DataFrame, per_layer: int = 50, hot: int
     return shown, held.join(files.select(F.col("node_id").alias("file")), "file", "left_semi").select(F.col("file").alias("src"), F.col("node_id").alias("dst"))
 
 
+def focus_symbols(nodes: DataFrame, file: str) -> DataFrame:
+    """A file's functions, classes and types in the order of their lines, signatures cut to 120 characters and docstrings to 100."""
+    text = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c)
+    own = nodes.where((F.col("file") == file) & F.col("kind").isin("function", "class", "type"))
+    line = F.coalesce("line_start", F.lit(0)).alias("line_start")
+    return own.select("node_id", "kind", "name", F.coalesce("qualified_name", "name").alias("qualified_name"), line, text("signature", 120), F.coalesce("complexity", F.lit(1)).alias("complexity"), text("docstring", 100)).orderBy("line_start", "node_id")
+
+
+def focus_callers(nodes: DataFrame, edges: DataFrame, file: str, top: int = 10) -> DataFrame:
+    """(caller): who calls the file's public functions from other files, as ``name (file)``, the first by name."""
+    own = nodes.where((F.col("kind") == "function") & (F.col("file") == file) & ~F.coalesce("name", F.lit("")).startswith("_")).select(F.col("node_id").alias("dst"))
+    into = edges.where("kind = 'calls'").join(own, "dst", "left_semi").select(F.col("src").alias("node_id")).distinct()
+    label = F.concat(F.coalesce("qualified_name", "name", "node_id"), F.lit(" ("), bare_path(F.col("file")), F.lit(")"))
+    other = nodes.where((F.coalesce("file", F.lit("")) != "") & (F.col("file") != file))
+    return other.join(into, "node_id").select(label.alias("caller")).distinct().orderBy("caller").limit(top)
+
+
+def focus_context(nodes: DataFrame, edges: DataFrame, file: str) -> dict[str, DataFrame]:
+    """What surrounds a file: its symbols, who imports it, what it imports, who calls into it."""
+    return {"symbols": focus_symbols(nodes, file), "imported_by": traverse.importers(edges, file), "imports": traverse.imported(edges, file), "callers": focus_callers(nodes, edges, file)}
+
+
+ROLES = ("general", "debug", "review", "feature")
+#: Rows that a focused section shows in all, those of the focus first and never fewer.
+FOCUS_SIZES = {"hot_paths": 10, "public_api": 15, "classes": 10, "todos": 10}
+
+
+def compress(pack: dict[str, list[dict]], nodes: DataFrame, edges: DataFrame, focus: str | None = None, role: str = "general") -> dict[str, list[dict]]:
+    """A pack for work on a file, by someone in a role; an unknown role is general, and ``pack`` itself stays as it is.
+
+    A focus adds what surrounds the file and puts its rows first in each section. Debugging wants hot paths by complexity times
+    changes, ten of them; a review five hot paths, 25 marks and the API by name; a feature three changes, modules of tests first and files of
+    the focus' layer. A pack holds few rows by its limits, so this is done to lists.
+    """
+    out = {k: list(v) for k, v in pack.items()}
+    file = focus if focus is None or focus.startswith("file:") else f"file:{focus}"
+    if file:
+        bare, rows = file.removeprefix("file:"), lambda df: [r.asDict(recursive=True) for r in df.collect()]
+        context = focus_context(nodes, edges, file)
+        out["focus"] = [{"file": bare, "symbols": rows(context["symbols"]), **{k: [r[0] for r in context[k].collect()] for k in ("imported_by", "imports", "callers")}}]
+        own = {file, *(r["node_id"] for r in out["focus"][0]["symbols"])}
+        for name, size in FOCUS_SIZES.items():
+            first = [r for r in out.get(name, []) if r.get("node_id") in own or r.get("file") in (file, bare) or (name == "todos" and bare in (r.get("file") or ""))]
+            if name in out:
+                out[name] = first + [r for r in out[name] if r not in first][: max(0, size - len(first))]
+    if role == "debug" and "hot_paths" in out:
+        out["hot_paths"] = sorted(out["hot_paths"], key=lambda r: -(r.get("complexity") or 1) * (1 + (r.get("commit_count") or 0)))[:10]
+    elif role == "review":
+        for name, size in (("hot_paths", 5), ("todos", 25)):
+            out |= {name: out[name][:size]} if name in out else {}
+        out["public_api"] = sorted(out.get("public_api", []), key=lambda r: r.get("name") or "")
+    elif role == "feature":
+        out |= {"recent_changes": out["recent_changes"][:3]} if "recent_changes" in out else {}
+        out["modules"] = sorted(out.get("modules", []), key=lambda r: not (r.get("path") or "").startswith("tests"))
+        if file:
+            out["focus"][0]["similar_files"] = [r.node_id for r in similar_files(nodes, file).collect()]
+    return out
+
+
 #: What a section of a pack shows at most, and how much of the budget must be left for it.
 LIMITS = {"hot_paths": 15, "recent_changes": 5, "public_api": 30, "todos": 20, "modules": 60, "classes": 40, "themes": 6, "notes": 8}
 GATES = {"modules": 1000, "classes": 500, "todos": 200, "themes": 400, "notes": 300}
@@ -145,7 +205,7 @@ def render_json(pack: dict[str, list[dict]]) -> str:
 
 
 def fit(pack: dict[str, list[dict]], title: str, budget: int) -> str:
-    """Markdown within ``budget`` tokens: sections are halved, then dropped, in the order of TRIM, until it fits."""
+    """Markdown within ``budget`` tokens: sections are halved, then dropped, in the order of TRIM, until it fits; at last the text is cut."""
     pack = dict(pack)
     for name in TRIM:
         for keep in (lambda n: n // 2, lambda n: 0):
@@ -155,4 +215,22 @@ def fit(pack: dict[str, list[dict]], title: str, budget: int) -> str:
             pack[name] = pack[name][: keep(len(pack[name]))]
             if not pack[name]:
                 del pack[name]
-    return render_markdown(pack, title)
+    text = render_markdown(pack, title)
+    return text if tokens_of(text) <= budget else text[: max(0, 4 * budget - 1)] + "…"
+
+
+#: Stands in every pack that is written, so that a file written by hand is told from one of ours.
+MARKER = "Generated by loomgraph"
+
+
+def write_pack(text: str, root: str, mode: str = "auto", name: str = "CONTEXT.md", fallback: str = ".loomgraph/context-pack.md") -> str:
+    """Write a pack under ``root``; the path it went to.
+
+    ``auto`` writes ``name`` unless somebody else wrote that, ``force`` always, ``off`` never; the fallback takes it otherwise.
+    """
+    target, other = Path(root) / name, Path(root) / fallback
+    ours = not target.exists() or MARKER in target.read_text(encoding="utf-8", errors="ignore")
+    chosen = target if mode == "force" or (mode == "auto" and ours) else other
+    chosen.parent.mkdir(parents=True, exist_ok=True)
+    chosen.write_text(f"{text}\n\n<!-- {MARKER} -->\n", encoding="utf-8")
+    return str(chosen)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import bare_path
-from ..storage import cut
+from ..storage import cut, release
 
 ALPHA, ITERATIONS, TOLERANCE = 0.85, 100, 1e-6
 STRUCTURAL = ("imports", "inherits", "implements", "defines")
@@ -19,37 +19,36 @@ def rank_edges(edges: DataFrame) -> DataFrame:
     return kept.where((F.col("kind") == "calls") == F.col("has_calls")).select("src", "dst")
 
 
-def pagerank(edges: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE) -> DataFrame:
     """(node_id, pagerank) of all ends of ``edges`` (src, dst), repeated edges counting as often as they come.
 
     Power iteration from equal ranks; what nodes without out-edges hold is spread evenly. Stops when the ranks change by less
-    than ``tolerance`` in sum; with None it runs all ``iterations`` and stays one lazy plan but for a cut every ``cut_every`` steps.
+    than ``tolerance`` in sum, or after ``iterations``.
 
-    Edges are combined and counted once, kept hashed by source as the ranks are, so a step shuffles only the partial sums. A
-    target with very many in-edges is summed before the shuffle.
+    Edges are combined and counted once. A step is one join and one sum, written down, so all steps have the same plan; a target with
+    very many in-edges is summed before the shuffle, and two numbers come to the driver.
     """
-    counted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    counted = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("times")))
     outs = counted.groupBy("src").agg(F.sum("times").alias("outs"))
     shares = cut(counted.join(outs, "src").select("src", "dst", (F.col("times") / F.col("outs")).alias("share")))
-    ends = cut(shares.select(F.col("src").alias("node_id")).unionByName(shares.select(F.col("dst").alias("node_id"))).distinct().join(outs.select(F.col("src").alias("node_id"), F.lit(True).alias("leads")), "node_id", "left"))
-    n = ends.count()
+    both = shares.select(F.col("src").alias("node_id"), F.lit(True).alias("leads")).unionByName(shares.select(F.col("dst").alias("node_id"), F.lit(False).alias("leads")))
+    ends = cut(both.groupBy("node_id").agg(F.bool_or("leads").alias("leads")))
+    release(counted)
+    n, idle = ends.agg(F.count(F.lit(1)), F.count_if(~F.col("leads"))).first()
     if not n:
         return ends.select("node_id", F.lit(0.0).alias("pagerank"))
-    ranks = ends.withColumn("pagerank", F.lit(1.0 / n))
-    for step in range(1, iterations + 1):
+    ranks, lost = ends.withColumn("pagerank", F.lit(1.0 / n)), idle / n
+    for _ in range(iterations):
         given = ranks.join(shares, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("given"))
-        # The sum of all ranks is 1, so what dangling nodes hold follows from what is given along edges.
-        lost = given.agg(F.coalesce(F.sum("given"), F.lit(0.0)).alias("along"))
-        base = (1.0 - alpha) / n + alpha * (1.0 - F.col("along")) / n
-        new = ends.join(given, F.col("node_id") == F.col("dst"), "left").join(F.broadcast(lost), F.lit(True), "left")  # one row
-        old = ranks
-        ranks = new.select("node_id", "leads", (base + alpha * F.coalesce("given", F.lit(0.0))).alias("pagerank"))
-        if tolerance is not None or step % cut_every == 0:
-            ranks = cut(ranks)
-        if tolerance is not None:
-            moved = ranks.join(old.select("node_id", F.col("pagerank").alias("before")), "node_id").agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0]
-            if moved < tolerance:
-                break
+        base = (1.0 - alpha) / n + alpha * lost / n
+        new = ranks.join(given, F.col("node_id") == F.col("dst"), "left")
+        last = ranks
+        ranks = cut(new.select("node_id", "leads", F.col("pagerank").alias("before"), (base + alpha * F.coalesce("given", F.lit(0.0))).alias("pagerank")))
+        release(last)
+        moved, lost = ranks.agg(F.sum(F.abs(F.col("pagerank") - F.col("before"))), F.coalesce(F.sum(F.when(~F.col("leads"), F.col("pagerank"))), F.lit(0.0))).first()
+        if tolerance is not None and moved < tolerance:
+            break
+    release(shares)
     return ranks.select("node_id", "pagerank")
 
 
@@ -100,5 +99,5 @@ def kind_counts(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, by: str = "dst") -> DataFrame:
-    """Edges dealt out by an end, for walks that follow it again and again."""
-    return cut(edges.repartition(by))
+    """Edges written down in ranges of an end, so that walks that look for few of them skip the other files."""
+    return cut(edges.repartitionByRange(by).sortWithinPartitions(by))

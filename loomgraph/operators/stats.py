@@ -31,9 +31,10 @@ def todo_summary(todos: DataFrame, top: int = 10) -> dict[str, DataFrame]:
 def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of counts. node_count holds the ends of edges that have no node."""
     of = lambda kind: F.count_if(F.col("kind") == kind).alias(f"{kind}_count")
-    ends = nodes.select("node_id").unionByName(edges.select(F.col("src").alias("node_id"))).unionByName(edges.select(F.col("dst").alias("node_id")))
+    ends = nodes.select("node_id", F.lit(0).alias("end")).unionByName(edges.select(F.explode(F.array("src", "dst")).alias("node_id"), F.lit(1).alias("end")))
     totals = nodes.agg(of("file"), of("class"), of("function"), of("type"), F.count_if((F.col("kind") == "file") & F.coalesce("is_test", F.lit(False))).alias("test_file_count"))
-    counts = edges.agg(_rows().alias("edge_count")).join(ends.distinct().agg(_rows().alias("node_count")), F.lit(True), "left")
+    each = ends.groupBy("node_id").agg(F.sum("end").alias("ends"))
+    counts = each.agg((F.coalesce(F.sum("ends"), F.lit(0)) / 2).cast("bigint").alias("edge_count"), _rows().alias("node_count"))
     return totals.join(counts, F.lit(True), "left")  # one row each
 
 
@@ -157,3 +158,36 @@ def extract_todos(lines: DataFrame, pattern: str, text: str = "text") -> DataFra
     split = F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("line", "content")
     rows = lines.select(*(c for c in lines.columns if c != text), split).where(F.col("content").rlike(pattern))
     return rows.select(*(c for c in lines.columns if c != text), (F.col("line") + 1).alias("line"), F.upper(F.regexp_extract("content", pattern, 1)).alias("kind"), F.trim(F.regexp_extract("content", pattern, 2)).alias("text"))
+
+
+def save_report(report: dict[str, DataFrame], path: str) -> None:
+    """Each part of a report as a small JSON table under its name."""
+    for name, part in report.items():
+        part.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+
+
+def load_report(report: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """What was saved of the parts of ``report``, whose schemas it has."""
+    return {name: part.sparkSession.read.schema(part.schema).json(f"{path}/{name}") for name, part in report.items()}
+
+
+def overview_report(nodes: DataFrame, edges: DataFrame, todos: DataFrame, hot: int = 10, todo_cap: int = 1000) -> dict[str, DataFrame]:
+    """The overview with layer sizes, the hottest symbols and the number of marks, counted up to a cap."""
+    from .rank import hot_paths
+
+    return {
+        "overview": overview(nodes, edges),
+        "layers": layer_sizes(nodes),
+        "hot_paths": hot_paths(nodes, hot),
+        "todo_total": todos.limit(todo_cap).agg(_rows().alias("total")),
+    }
+
+
+def summary_sentence(nodes: DataFrame) -> DataFrame:
+    """One row, summary: sizes and languages in a sentence."""
+    of = lambda kind: F.count_if(F.col("kind") == kind).cast("string")
+    spoken = languages(nodes).agg(F.array_sort(F.collect_list(F.struct((-F.col("files")).alias("k"), "lang", "files"))).alias("l"))
+    told = F.array_join(F.transform("l", lambda x: F.concat(x["lang"], F.lit("("), x["files"].cast("string"), F.lit(")"))), ", ")
+    counts = nodes.agg(of("file").alias("f"), of("function").alias("g"), of("class").alias("c"))
+    both = counts.join(spoken, F.lit(True), "left")  # one row each
+    return both.select(F.concat(F.lit("Repository with "), "f", F.lit(" files, "), "g", F.lit(" functions, "), "c", F.lit(" classes. Languages: "), told, F.lit(".")).alias("summary"))

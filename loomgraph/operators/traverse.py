@@ -10,31 +10,29 @@ from pyspark.sql import functions as F
 from ..schema import bare_path
 from ..storage import cut
 
-#: After so many steps a walk's plan is computed and cut.
-CUT_AFTER = 4
-
-
 def reach(edges: DataFrame, starts: DataFrame, depth: int, kinds: Sequence[str] | None = None, reverse: bool = True) -> DataFrame:
     """(start, node_id, depth): the nodes that a walk of 1 to ``depth`` edges reaches from each start, at their least depth.
 
     A start is among them iff it lies on a cycle. ``starts`` has a column node_id; walks of different starts share the joins. Each
-    step joins the new nodes only, and nodes met before are taken away, so dense graphs don't multiply walks.
+    step reads the edges once, keeps those that leave the new nodes, and takes away what was met before; repeated edges are
+    dropped afterwards, among those few. What a step finds is written down, so plans don't grow, and Spark, which then knows its
+    size, broadcasts it where it is small.
     """
     here, there = ("dst", "src") if reverse else ("src", "dst")
     kept = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
-    hops = kept.select(F.col(here).alias("at"), F.col(there).alias("node_id")).distinct()
+    hops = kept.select(F.col(here).alias("at"), F.col(there).alias("node_id"))
     frontier = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("at")).distinct()
     seen = None
     for step in range(1, depth + 1):
-        new = frontier.join(hops, "at").select("start", "node_id").distinct()
+        new = hops.join(frontier, "at").select("start", "node_id").distinct()
         if seen is not None:
             new = new.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti")
         new = new.withColumn("depth", F.lit(step))
-        if step % CUT_AFTER == 0:
+        if step < depth:
             new = cut(new)
-            if new.isEmpty():
-                break
         seen = new if seen is None else seen.unionByName(new)
+        if step < depth and new.isEmpty():
+            break
         frontier = new.select("start", F.col("node_id").alias("at"))
     return seen if seen is not None else frontier.select("start", F.col("at").alias("node_id"), F.lit(0).alias("depth")).limit(0)
 
@@ -102,3 +100,14 @@ def impact_summary(affected: DataFrame) -> DataFrame:
         F.count_if(F.coalesce("kind", F.lit("")) == "test").alias("affected_tests"),
         F.count(F.lit(1)).alias("blast_radius"),
     )
+
+
+# What counts as a test file where nothing else says so.
+TEST_FILE = "(?i)test"
+
+
+def file_impact(edges: DataFrame, nodes: DataFrame, symbol: str, depth: int = 3) -> DataFrame:
+    """(node_id, file, is_test) of what calls or inherits from ``symbol``, in up to ``depth`` steps; the ids are its blast radius."""
+    found = impact(edges, nodes, symbol, depth, ("calls", "inherits")).select("node_id", bare_path(F.coalesce("file", F.lit(""))).alias("file"))
+    marked = nodes.select("node_id", F.coalesce("is_test", F.lit(False)).alias("marked"))
+    return found.join(marked, "node_id", "left").select("node_id", "file", (F.coalesce("marked", F.lit(False)) | F.col("file").rlike(TEST_FILE)).alias("is_test"))

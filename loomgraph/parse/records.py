@@ -10,11 +10,18 @@ from dataclasses import dataclass, field
 from ..functions.text import TEST_PATHS, todo_pattern
 
 # Methods of built-in types, which a call on an unknown receiver never binds to.
-BUILTIN_METHODS = frozenset(
-    """append extend keys values items setdefault popitem read readline readlines write writelines flush seek tell strip lstrip rstrip split
-    rsplit splitlines encode decode lower upper title capitalize startswith endswith isdigit isalpha isalnum isspace exists is_file is_dir
-    mkdir resolve glob rglob unlink iterdir absolute as_posix read_text write_text read_bytes write_bytes""".split()
-)
+BUILTIN_METHODS = frozenset({
+    "append", "extend", "keys", "values", "items", "setdefault", "popitem",
+    "read", "readline", "readlines", "write", "writelines", "flush", "seek", "tell",
+    "strip", "lstrip", "rstrip", "split", "rsplit", "splitlines", "encode", "decode", "lower", "upper", "title", "capitalize",
+    "startswith", "endswith", "isdigit", "isalpha", "isalnum", "isspace",
+    "exists", "is_file", "is_dir", "mkdir", "resolve", "glob", "rglob", "unlink", "iterdir", "absolute", "as_posix",
+    "read_text", "write_text", "read_bytes", "write_bytes",
+})
+#: What an editor's backend leaves out besides.
+EDITOR_METHODS = BUILTIN_METHODS | {
+    "forEach", "map", "filter", "reduce", "slice", "splice", "push", "pop", "shift", "unshift", "concat", "indexOf", "includes", "trim", "toString", "then", "catch", "finally",
+}
 
 NODE_FIELDS = """node_id string, kind string, name string, qualified_name string, file string, path string, lang string, line_start int, line_end int,
 line_count int, size_bytes bigint, sha256 string, signature string, docstring string, bases array<string>, definition string, complexity int, is_test boolean,
@@ -61,7 +68,7 @@ def start_file(path: str, lang: str, source: bytes) -> tuple[Parsed, str]:
     return out, text
 
 
-def add_calls(out: Parsed, sites: Iterable[tuple[str, int, str]]) -> None:
+def add_calls(out: Parsed, sites: Iterable[tuple[str, int, str]], builtin: frozenset[str] = BUILTIN_METHODS) -> None:
     """Open calls from (callee, line, scope free, attr or self), each from the tightest function around its line.
 
     Calls outside functions, repeated ones on a line, and those on other receivers to a built-in type's method are left out.
@@ -69,7 +76,7 @@ def add_calls(out: Parsed, sites: Iterable[tuple[str, int, str]]) -> None:
     functions = [n for n in out.nodes if n["kind"] == "function"]
     seen = set()
     for callee, line, scope in sites:
-        if not callee or scope == "attr" and callee in BUILTIN_METHODS:
+        if not callee or scope == "attr" and callee in builtin:
             continue
         around = [f for f in functions if f["line_start"] <= line <= f["line_end"]]
         if not around:

@@ -79,6 +79,3 @@ def raw_tables(parsed: DataFrame) -> Raw:
     strip = lambda df: df.select("path", "r.*")
     return Raw(nodes.select("path", "r"), strip(edges), strip(todos), files)
 
-
-def node_table(raw_nodes: DataFrame) -> DataFrame:
-    return raw_nodes.select("r.*").dropDuplicates(["node_id"])

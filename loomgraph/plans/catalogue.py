@@ -46,7 +46,7 @@ pr{k} AS MATERIALIZED (SELECT e.node_id, 0.15::DOUBLE / n + 0.85::DOUBLE * (1 -
 
 @query("calls", f"WITH {_pagerank_sql('calls')} SELECT node_id, round(pagerank, 8) AS pagerank FROM pr{STEPS}")
 def pagerank_k(p: Projection) -> DataFrame:
-    ranks = rank.pagerank(p.calls.select("src", "dst"), iterations=STEPS, tolerance=None)
+    ranks = rank.pagerank(p.stored("calls").select("src", "dst"), iterations=STEPS, tolerance=None)
     return ranks.select("node_id", F.round("pagerank", 8).alias("pagerank"))
 
 
@@ -73,7 +73,7 @@ scored AS (SELECT n.node_id, n.kind, n.name, round(coalesce(pagerank, 0), 8) AS
 SELECT *, pagerank + 0.01::DOUBLE * commit_count AS score FROM scored ORDER BY score DESC, node_id LIMIT 20""",
 )
 def hot_paths(p: Projection) -> DataFrame:
-    ranks = rank.pagerank(p.calls.select("src", "dst"), iterations=STEPS, tolerance=None).withColumn("pagerank", F.round("pagerank", 8))
+    ranks = rank.pagerank(p.stored("calls").select("src", "dst"), iterations=STEPS, tolerance=None).withColumn("pagerank", F.round("pagerank", 8))
     files = rank.link_counts(p.file_commits).select(F.concat(F.lit("file:"), "file").alias("node_id"), "commit_count")
     return rank.hot_paths(p.nodes.join(ranks, "node_id", "left").join(files, "node_id", "left"))
 
@@ -116,12 +116,12 @@ def _walk_sql(edges: str, start: str, depth: int, reverse: bool = True) -> str:
 
 @query("calls", f"WITH RECURSIVE {_walk_sql('calls', 'func:part/7', 2)} SELECT node_id, min(depth)::INT AS depth FROM walk GROUP BY node_id")
 def callers_depth2(p: Projection) -> DataFrame:
-    return traverse.callers(p.calls, "func:part/7", 2)
+    return traverse.callers(p.stored("calls"), "func:part/7", 2)
 
 
 @query("nodes calls hierarchy", f"WITH RECURSIVE links AS MATERIALIZED (SELECT * FROM calls UNION ALL SELECT * FROM hierarchy), {_walk_sql('links', 'func:part/7', 3)} SELECT w.node_id, any_value(n.kind) AS kind, any_value(n.file) AS file, min(w.depth)::INT AS depth FROM walk w LEFT JOIN nodes n ON w.node_id = n.node_id GROUP BY w.node_id")
 def impact_analysis_d3(p: Projection) -> DataFrame:
-    return traverse.impact(edges_of(p.calls, p.hierarchy), p.nodes, "func:part/7", 3).select("node_id", "kind", "file", "depth")
+    return traverse.impact(edges_of(p.stored("calls"), p.stored("hierarchy")), p.nodes, "func:part/7", 3).select("node_id", "kind", "file", "depth")
 
 
 @query(
@@ -226,7 +226,7 @@ def _hits(term: str, column: str | None = None) -> str:
     return f"SELECT DISTINCT node_id FROM postings WHERE {term}" + (f" AND col = '{column}'" if column else "")
 
 
-_DOC_TEXTS = "texts AS (SELECT concat('doc:', CAST(doc_id AS VARCHAR)) AS node_id, source AS name, substr(text, 1, 500) AS docstring FROM documents WHERE source IS NOT NULL)"
+_DOC_TEXTS = "texts AS (SELECT concat('doc:', CAST(doc_id AS VARCHAR)) AS node_id, source AS name, text AS docstring FROM documents WHERE source IS NOT NULL)"
 
 
 def _document_nodes(p: Projection) -> DataFrame:
@@ -241,7 +241,7 @@ def _full_text(name: str, ask: str, sql: str) -> None:
     query("", f"WITH {_DOC_TEXTS}, {_postings_sql()} {sql}")(run)
 
 
-_full_text("fts_and", "the thion AND of", f"{_hits("token = 'the'")} INTERSECT {_hits("token = 'thion'")} INTERSECT {_hits("token = 'of'")}")
+_full_text("fts_and", "the that AND en", f"{_hits("token = 'the'")} INTERSECT {_hits("token = 'that'")} INTERSECT {_hits("token = 'en'")}")
 _full_text("fts_or", "thion OR letre", f"{_hits("token = 'thion'")} UNION {_hits("token = 'letre'")}")
 _full_text("fts_not", "de NOT les", f"{_hits("token = 'de'")} EXCEPT {_hits("token = 'les'")}")
 _full_text("fts_prefix", "name:src1*", _hits("starts_with(token, 'src1')", "name"))
@@ -647,3 +647,6 @@ def json_attributes(p: Projection) -> DataFrame:
     return p.table("events").where(F.try_parse_json("props").isNotNull()).select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
+
+
+from . import compositions  # noqa: E402, F401  registers more

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 FOLDERS = ("tests", "model", "api", "service", "infra", "config", "util", "models", "misc")
 
 
@@ -91,11 +93,17 @@ class Projection:
     """The projected tables of one folder, each a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._stored = spark, sf_dir, {}
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def stored(self, name: str) -> DataFrame:
+        """A projected table written down, as a source graph's tables are; for what reads it more than once."""
+        if name not in self._stored:
+            self._stored[name] = cut(getattr(self, name))
+        return self._stored[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)

@@ -17,6 +17,7 @@ SKIP_SUFFIXES = (
     ".pyc", ".pyo", ".so", ".dylib", ".dll", ".db", ".db-shm", ".db-wal", ".sqlite", ".sqlite3", ".bin", ".dat", ".pkl", ".parquet",
 )
 MAX_SIZE = 512 * 1024
+EDITOR_SKIP_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", ".tox", "vendor", ".mypy_cache", ".pytest_cache", ".loomgraph")
 
 
 def kept_files(files: DataFrame, root: str, skip_dirs: Sequence[str] = SKIP_DIRS, skip_suffixes: Sequence[str] = SKIP_SUFFIXES, max_size: int | None = MAX_SIZE) -> DataFrame:
@@ -35,6 +36,12 @@ def scan(spark: SparkSession, root: str, **rules) -> DataFrame:
     return kept_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, **rules)
 
 
+def editor_scan(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
+    """As an editor scans: fewer folders are left out, no size and no suffix, and only files that a parser knows."""
+    found = scan(spark, root, skip_dirs=EDITOR_SKIP_DIRS, skip_suffixes=("\0",), max_size=None)
+    return found.where(F.col("path").rlike("(?i)(" + "|".join(e.replace(".", r"\.").replace("+", r"\+") for e in extensions) + ")$"))
+
+
 def text_of(content: str = "content"):
     return F.decode(F.col(content), F.lit("UTF-8"))
 
@@ -89,13 +96,18 @@ def review_comments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def notes(lines: DataFrame, newest: int | None = 10) -> DataFrame:
-    """(written, category, body) of notes under ``### time · category`` headers; ``lines`` has pos and value of one file."""
+    """(pos, written, category, body) of notes under ``### time · category`` headers, the latest first; ``lines`` has pos, value and, of several, file.
+
+    A running count of headers within a file numbers the notes; lines before the first belong to none. A rule below a note is not part of it.
+    """
     header = r"^###\s+(.+?)\s+·\s+(\S+)\s*$"
-    heads = lines.where(F.col("value").rlike(header)).select("pos", F.regexp_extract("value", header, 1).alias("written"), F.regexp_extract("value", header, 2).alias("category"))
-    extent = heads.withColumn("stop", F.coalesce(F.lead("pos").over(Window.orderBy("pos")), F.lit(1 << 60)))
-    held = extent.join(lines.select(F.col("pos").alias("at"), "value"), (F.col("at") > F.col("pos")) & (F.col("at") < F.col("stop")), "left")
-    bodies = held.groupBy("pos", "written", "category").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("l"))
-    told = bodies.select("pos", "written", "category", F.regexp_replace(F.concat_ws("\n", F.col("l.value")), r"^\s+|\s+$", "").alias("body")).orderBy(F.desc("pos"))
+    keyed = lines if "file" in lines.columns else lines.withColumn("file", F.lit(""))
+    marked = keyed.withColumn("head", F.col("value").rlike(header))
+    numbered = marked.withColumn("note", F.sum(F.col("head").cast("int")).over(Window.partitionBy("file").orderBy("pos"))).where("note > 0")
+    body = F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("pos", "value"))))
+    held = numbered.groupBy("file", "note").agg(F.min("pos").alias("pos"), F.max(F.when(F.col("head"), F.col("value"))).alias("header"), body.alias("l"))
+    said = F.regexp_replace(F.regexp_replace(F.concat_ws("\n", F.col("l.value")), r"^\s+|\s+$", ""), r"(^|\s+)---$", "")
+    told = held.orderBy("file", F.desc("pos")).select("pos", F.regexp_extract("header", header, 1).alias("written"), F.regexp_extract("header", header, 2).alias("category"), said.alias("body"))
     return told if newest is None else told.limit(newest)
 
 
@@ -109,6 +121,33 @@ def append_note(path: str, written: str, category: str, body: str) -> None:
         f.write(f"### {written} · {category}\n{body.strip()}\n\n")
 
 
+def clear_notes(path: str) -> None:
+    """Leave an empty file."""
+    open(path, "w", encoding="utf-8").close()
+
+
+_TREE = "tree array<struct<path:string,type:string,size:bigint,sha:string>>"
+_COMMIT = "sha string, commit struct<message:string,author:struct<name:string,email:string,date:timestamp>>, files array<struct<filename:string>>"
+_COMPARE = "files array<struct<filename:string,status:string,previous_filename:string>>"
+
+
+def exported_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size_bytes, sha) of the files in exported tree listings."""
+    return spark.read.schema(_TREE).json(path, multiLine=True).select(F.explode("tree").alias("t")).where("t.type = 'blob'").select("t.path", F.col("t.size").alias("size_bytes"), "t.sha")
+
+
+def exported_commits(spark: SparkSession, path: str) -> DataFrame:
+    """Exported commits, in the columns of :func:`commits`."""
+    read = spark.read.schema(_COMMIT).json(path)
+    return read.select("sha", F.substring("sha", 1, 7).alias("short_sha"), F.col("commit.author.name").alias("author"), F.col("commit.author.email").alias("author_email"), F.unix_seconds("commit.author.date").alias("ts"), F.substring_index("commit.message", "\n", 1).alias("message"), F.col("files.filename").alias("files_changed"))
+
+
+def exported_compare(spark: SparkSession, path: str) -> DataFrame:
+    """(status, path) of an exported comparison, in the letters of :func:`changed_files`."""
+    letter = F.when(F.col("f.status") == "added", "A").when(F.col("f.status") == "removed", "D").when(F.col("f.status") == "renamed", "R").otherwise("M")
+    return spark.read.schema(_COMPARE).json(path, multiLine=True).select(F.explode("files").alias("f")).select(letter.alias("status"), F.col("f.filename").alias("path"))
+
+
 def save_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and edges as compressed JSON lines."""
     nodes.write.mode("overwrite").option("compression", "gzip").json(f"{path}/nodes")

@@ -36,10 +36,3 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 20
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-@pytest.mark.parametrize("name", ["fts_and", "fts_or", "fts_not", "fts_phrase", "fts_grouped"])
-def test_full_text_reads_whole_documents(name, spark, data, con):
-    whole = ORACLE[name].replace("substr(text, 1, 500)", "text")
-    assert whole != ORACLE[name]
-    assert plain(QUERIES[name](spark, data).select("node_id").collect()) == plain(con.sql(whole).fetchall())
