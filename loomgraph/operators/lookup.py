@@ -120,8 +120,9 @@ def test_coverage(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:
 
 
 def edge_details(edges: DataFrame, kind: str, column: str = "meta") -> DataFrame:
-    """Edges of a kind whose details, JSON in ``column``, can be read; the others are skipped."""
-    return edges.where((F.col("kind") == kind) & F.try_parse_json(column).isNotNull())
+    """Edges of a kind whose details, a JSON object in ``column``, can be read; the others are skipped."""
+    whole = F.col(column).rlike(r"(?s)^\s*\{.*\}\s*$")  # the parser ignores what follows a value
+    return edges.where((F.col("kind") == kind) & whole & F.try_parse_json(column).isNotNull())
 
 
 def file_hash(files: DataFrame, path: str) -> DataFrame:

@@ -37,10 +37,10 @@ def list_todos(p: Projection) -> DataFrame:
     return lookup.todos(_marks(p), "fixme")
 
 
-@query("nodes", f"WITH f AS (SELECT {_LOCATED} FROM nodes WHERE name = 'red_widget' OR (name ILIKE 'red_widget%' AND NOT EXISTS (SELECT 1 FROM nodes WHERE name = 'red_widget'))), g AS (SELECT * FROM f ORDER BY node_id LIMIT CASE WHEN EXISTS (SELECT 1 FROM nodes WHERE name = 'red_widget') THEN 1000000 ELSE 10 END) SELECT node_id, kind, name, replace(file, 'file:', '') AS file, line_start AS line, signature, substr(docstring, 1, 200) AS docstring, count(*) OVER () AS count FROM g")
+@query("nodes", f"SELECT node_id, kind, name, replace(file, 'file:', '') AS file, line_start AS line, signature, substr(docstring, 1, 200) AS docstring, count(*) OVER () AS count FROM (SELECT {_LOCATED} FROM nodes WHERE name = 'AUTOMOBILE')")
 def find_symbol(p: Projection) -> DataFrame:
     nodes = p.nodes
-    return lookup.find_symbol(nodes, search.build_index(nodes), "red_widget")
+    return lookup.find_symbol(nodes, search.build_index(nodes), "AUTOMOBILE")
 
 
 @query("nodes", "SELECT coalesce(min(node_id), 'AUTOMOBILE') AS node_id FROM nodes WHERE name = 'AUTOMOBILE'")
