@@ -583,9 +583,11 @@ def role_feature(p: Projection) -> DataFrame:
     return pack.role_feature(nodes, _all_edges(p), "file:none")["modules"].limit(10)
 
 
-@query("nodes", f"WITH f AS (SELECT node_id, {_LAYER} AS layer, row_number() OVER (PARTITION BY {_LAYER} ORDER BY node_id) AS k FROM nodes WHERE kind = 'file'), h AS (SELECT node_id FROM nodes WHERE kind IN ('function', 'file') ORDER BY node_id LIMIT 80) SELECT 'file:' || n.path AS src, e.node_id AS dst FROM f JOIN nodes n ON n.node_id = f.node_id JOIN nodes e ON e.file = f.node_id JOIN h ON h.node_id = e.node_id WHERE f.k <= 50")
+@query("nodes structure calls", f"WITH {_pagerank_sql('calls')}, f AS (SELECT node_id, {_LAYER} AS layer, row_number() OVER (PARTITION BY {_LAYER} ORDER BY node_id) AS k FROM nodes WHERE kind = 'file'), h AS (SELECT n.node_id FROM nodes n LEFT JOIN pr{STEPS} r USING (node_id) WHERE kind IN ('function', 'file') ORDER BY round(coalesce(pagerank, 0), 8) DESC, n.node_id LIMIT 80) SELECT 'file:' || n.path AS src, e.node_id AS dst FROM f JOIN nodes n ON n.node_id = f.node_id JOIN nodes e ON e.file = f.node_id JOIN h ON h.node_id = e.node_id WHERE f.k <= 50")
 def graph_view(p: Projection) -> DataFrame:
-    nodes = _layered(p).withColumns({"pagerank": F.lit(0.0), "commit_count": F.lit(0).cast("bigint")})
+    """Without a history, so functions are the hottest."""
+    ranks = rank.pagerank(p.stored("calls").select("src", "dst"), iterations=STEPS, tolerance=None).withColumn("pagerank", F.round("pagerank", 8))
+    nodes = _layered(p).join(ranks, "node_id", "left").withColumn("commit_count", F.lit(0).cast("bigint"))
     return pack.graph_view(nodes, p.structure)[1]
 
 

@@ -306,12 +306,6 @@ def review_marks(p: Projection) -> DataFrame:
     return parts["hot"].select(F.lit("hot").alias("part"), "node_id").unionByName(parts["todos"].select(F.lit("todo").alias("part"), "node_id"))
 
 
-@query("nodes calls file_commits parts", f"{_HOT}, f AS (SELECT node_id, row_number() OVER (PARTITION BY layer ORDER BY node_id) AS k FROM (SELECT node_id, CASE " + " ".join(f"WHEN regexp_matches(path, '{r}') THEN '{n}'" for n, r in text.LAYER_RULES) + " ELSE 'unknown' END AS layer FROM nodes WHERE kind = 'file')), h AS (SELECT node_id FROM scored ORDER BY score DESC, node_id LIMIT 400) SELECT f.node_id AS src, e.node_id AS dst FROM h JOIN nodes e ON e.node_id = h.node_id JOIN f ON f.node_id = e.file WHERE f.k <= 5000")
-def graph_view_held(p: Projection) -> DataFrame:
-    nodes = cut(_ranked(p)).withColumn("layer", F.when(F.col("kind") == "file", text.detect_layer(F.col("path"))))
-    return pack.graph_view(nodes, p.structure, per_layer=5000, hot=400)[1]
-
-
 @query("nodes", "SELECT node_id FROM (SELECT node_id, coalesce(name, path) AS label, path, kind AS layer FROM nodes) WHERE contains(lower(coalesce(label, '')), 'gear') OR contains(lower(coalesce(path, '')), 'gear') OR contains(coalesce(layer, ''), 'gear')")
 def view_filter(p: Projection) -> DataFrame:
     shown = p.nodes.select("node_id", F.coalesce("name", "path").alias("label"), "path", F.col("kind").alias("layer"))
