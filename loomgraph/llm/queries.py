@@ -188,14 +188,18 @@ def _parts_sql(url: str) -> str:
     return f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), {_AZ}) AS host, coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path"
 
 
-_TARGET_SQL = """unnest([regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-    regexp_extract(html, '(?is)<link\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)[^>]*\\brel\\s*=\\s*["'']?canonical\\b', 1),
-    regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)])"""
+_TARGET_SQL = """unnest(list_concat(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), list_concat(
+    regexp_extract_all(html, '(?is)<link\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)[^>]*\\brel\\s*=\\s*["'']?canonical\\b', 1),
+    regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1))))"""
+#: As seen from the page; addresses with . and .. are left to the tests of the operator.
+_AIMED_SQL = """CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN starts_with(t, '//') THEN regexp_extract(src, '(?s)^(.*?:)//', 1) || t
+    WHEN starts_with(t, '/') THEN regexp_extract(src, '(?s)^(.*?://[^/?]*)', 1) || t WHEN starts_with(t, '?') THEN regexp_extract(src, '(?s)^(.*?://[^?]*)', 1) || t WHEN starts_with(t, '#') THEN src
+    ELSE regexp_extract(src, '(?s)^(.*?://[^/?]*)', 1) || '/' || regexp_extract(src, '(?s)^.*?://[^/?]*/((?:[^?]*/)?)', 1) || t END"""
 _URL_SQL = f"""
 WITH RECURSIVE rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}) t(verdict, host, start)),
 page AS (SELECT row_number() OVER () AS k, page_id, url, html, {_parts_sql("url")}, {_key_sql("url")} AS key FROM pages),
 found AS (SELECT key AS src, {_TARGET_SQL} AS t FROM page WHERE key IS NOT NULL),
-aimed AS (SELECT src, CASE WHEN starts_with(t, '//') THEN regexp_extract(src, '(?s)^(.*?:)//', 1) || t WHEN starts_with(t, '/') THEN regexp_extract(src, '(?s)^(.*?://[^/?]*)', 1) || t ELSE t END AS t FROM found WHERE t <> ''),
+aimed AS (SELECT src, {_AIMED_SQL} AS t FROM found WHERE t <> ''),
 link AS (SELECT DISTINCT src, {_key_sql("t")} AS dst FROM aimed),
 sides AS (SELECT src AS a, dst AS b FROM link WHERE dst IS NOT NULL AND src <> dst UNION SELECT dst, src FROM link WHERE dst IS NOT NULL AND src <> dst),
 reach(node, other) AS (SELECT a, a FROM sides UNION SELECT r.node, s.b FROM reach r JOIN sides s ON r.other = s.a),
@@ -207,4 +211,15 @@ SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.verdict, a.verdict, 'allow'
 FROM page p LEFT JOIN ruled r ON p.k = r.k LEFT JOIN alias a ON p.key = a.node
 """
 
-ORACLE: dict[str, str] = {"op7_mixing": _MIX_SQL, "op9_url_filters": _URL_SQL}
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(node, other) AS (SELECT a, a FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON r.other = l.a),
+component AS (SELECT node, min(other) AS least FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(vec_id = coalesce(least, vec_id), false) AS kept
+FROM v LEFT JOIN degree ON a = vec_id LEFT JOIN component ON node = vec_id
+"""
+
+ORACLE: dict[str, str] = {"op2_embedding_near_dedup": _VECTOR_SQL, "op7_mixing": _MIX_SQL, "op9_url_filters": _URL_SQL}

@@ -273,7 +273,7 @@ def _join(likely: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return _by_block(_dealt(likely, nodes.select("node", "unit", "copies")), "node long, links long, least long", compare)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float = 24.0, hits: float = 8.0, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float = 24.0, hits: float = 8.0, id_column: str = "vec_id", column: str = "embedding", exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
     Two vectors are linked if their cosine, in double precision, is at least ``threshold`` and a filter holds both; all links found
@@ -285,7 +285,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float =
     that holds more is cut into blocks, and each pair of blocks is a group of its own. Sketches of a byte for each component go
     there first, and vectors only where a sketch finds a possible link; links are counted in the first filter that two vectors share,
     and never become rows. The number of rotations is such that of random pairs
-    at the threshold, ``RECALL`` or more share a filter, whatever the number of vectors and of their components.
+    at the threshold, ``RECALL`` or more share a filter, whatever the number of vectors and of their components. ``exact`` finds
+    every link: all vectors of a length are one filter, whose pairs of blocks, a square of their number, are compared; for proof.
     """
     schema = "vec_id long, unit binary"
     arrow = arrow_schema(schema)
@@ -299,6 +300,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float =
     units = materialise(read.mapInArrow(normalise, schema), "units")
     nodes = units.where("unit is not null and vec_id is not null").groupBy("unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = materialise(nodes, "vectors")
+    if exact:
+        return _told(units, nodes, materialise(_join(nodes.select("node", F.length("unit").cast("long").alias("filter")), nodes, threshold), "vector-links"))
     dims = nodes.groupBy((F.length("unit") / 8).cast("int").alias("dim")).count().collect()
     plans = {r.dim: Plan.make(r.dim, per_filter, hits, r["count"], threshold) for r in dims}
     spread = materialise(_spread(nodes.select("node", "unit"), plans), "filters")
@@ -306,6 +309,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_filter: float =
     release(spread)
     found = materialise(_join(likely, nodes, threshold), "vector-links")
     release(likely)
+    return _told(units, nodes, found)
+
+
+def _told(units: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The result's rows, from links counted by block."""
     label = components_of_ids(found.select("node", "least"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     told = nodes.join(links, "node", "left").join(label, "node", "left").select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))

@@ -363,10 +363,10 @@ def test_budgets_against_rounds(spark):
     assert sum(got.values()) == pytest.approx(total)
 
 
-@pytest.mark.parametrize("name", ["op7_mixing", "op9_url_filters"])
+@pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op7_mixing", "op9_url_filters"])
 def test_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     df = queries.QUERIES[name](spark, data)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE[name]})").fetchall()
