@@ -162,7 +162,7 @@ _OPEN = """functions AS (SELECT concat('func:', brand, '::', owner, '.', name) A
   FROM (SELECT DISTINCT replace(p_brand, '#', '') AS brand, p_type AS owner, concat(replace(p_name, ' ', '_'), '#', CAST(p_size AS {s})) AS name FROM part) x),
 open_calls AS (SELECT DISTINCT concat('func:', replace(a.p_brand, '#', ''), '::', a.p_type, '.', replace(a.p_name, ' ', '_'), '#', CAST(a.p_size AS {s})) AS src,
   concat('func:?::', replace(b.p_name, ' ', '_'), '#', CAST(b.p_size AS {s})) AS dst, (b.p_partkey % 3 = 0) AS self_call
-  FROM part a JOIN part b ON b.p_partkey = (a.p_partkey * 7 + 3) % 199 OR (a.p_partkey < 300 AND b.p_partkey = a.p_partkey + 1))"""
+  FROM (SELECT *, unnest([(p_partkey * 7 + 3) % (SELECT count(*) FROM part), p_partkey + 1]) AS callee FROM part) a JOIN part b ON b.p_partkey = a.callee)"""
 
 
 @query(
@@ -181,8 +181,7 @@ def resolve_calls(p: Projection) -> DataFrame:
     symbol = part.select("p_partkey", brand.alias("brand"), F.col("p_type").alias("owner"), name.alias("name"))
     node = F.concat(F.lit("func:"), "brand", F.lit("::"), "owner", F.lit("."), "name")
     functions = symbol.select("brand", "owner", "name").distinct().select(node.alias("node_id"), "name", F.concat("owner", F.lit("."), "name").alias("qualified_name"), F.concat(F.lit("file:"), "brand").alias("file"))
-    one = F.array((F.col("p_partkey") * 7 + 3) % 199)
-    targets = F.array_distinct(F.when(F.col("p_partkey") < 300, F.concat(one, F.array(F.col("p_partkey") + 1))).otherwise(one))
+    targets = F.array((F.col("p_partkey") * 7 + 3) % F.lit(part.count()), F.col("p_partkey") + 1)
     callers = symbol.select(node.alias("src"), F.explode(targets).alias("callee_key"))
     callees = symbol.select(F.col("p_partkey").alias("callee_key"), F.concat(F.lit("func:?::"), "name").alias("dst"), (F.col("p_partkey") % 3 == 0).alias("self_call"))
     calls = callers.join(callees, "callee_key").select("src", "dst", F.lit("calls").alias("kind"), "self_call", F.lit(False).alias("resolved")).distinct()
