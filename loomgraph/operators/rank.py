@@ -25,31 +25,31 @@ def pagerank(edges: DataFrame, alpha: float = ALPHA, iterations: int = ITERATION
     Power iteration from equal ranks; what nodes without out-edges hold is spread evenly. Stops when the ranks change by less
     than ``tolerance`` in sum, or after ``iterations``.
 
-    Edges are combined and counted once. A step is one join and one sum, written down, so all steps have the same plan; a target with
-    very many in-edges is summed before the shuffle, and two numbers come to the driver.
+    Edges are combined and counted once, and nodes numbered, so that steps join and sum numbers. A step is one join and one sum, written
+    down, so all steps have the same plan; a target with very many in-edges is summed before the shuffle, and two numbers come to the driver.
     """
     counted = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("times")))
-    outs = counted.groupBy("src").agg(F.sum("times").alias("outs"))
-    shares = cut(counted.join(outs, "src").select("src", "dst", (F.col("times") / F.col("outs")).alias("share")))
-    both = shares.select(F.col("src").alias("node_id"), F.lit(True).alias("leads")).unionByName(shares.select(F.col("dst").alias("node_id"), F.lit(False).alias("leads")))
-    ends = cut(both.groupBy("node_id").agg(F.bool_or("leads").alias("leads")))
+    both = counted.select(F.col("src").alias("node_id"), F.col("times").alias("outs")).unionByName(counted.select(F.col("dst").alias("node_id"), F.lit(0.0).alias("outs")))
+    ends = cut(both.groupBy("node_id").agg(F.sum("outs").alias("outs")).withColumn("id", F.monotonically_increasing_id()))
+    source, target = ends.select(F.col("node_id").alias("src"), F.col("id").alias("from_id"), "outs"), ends.select(F.col("node_id").alias("dst"), F.col("id").alias("to_id"))
+    shares = cut(counted.join(source, "src").join(target, "dst").select("from_id", "to_id", (F.col("times") / F.col("outs")).alias("share")))
     release(counted)
-    n, idle = ends.agg(F.count(F.lit(1)), F.count_if(~F.col("leads"))).first()
+    n, idle = ends.agg(F.count(F.lit(1)), F.count_if(F.col("outs") == 0)).first()
     if not n:
         return ends.select("node_id", F.lit(0.0).alias("pagerank"))
-    ranks, lost = ends.withColumn("pagerank", F.lit(1.0 / n)), idle / n
+    ranks, lost = ends.select("id", (F.col("outs") > 0).alias("leads"), F.lit(1.0 / n).alias("pagerank")), idle / n
     for _ in range(iterations):
-        given = ranks.join(shares, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("given"))
+        given = ranks.join(shares, F.col("id") == F.col("from_id")).groupBy("to_id").agg(F.sum(F.col("pagerank") * F.col("share")).alias("given"))
         base = (1.0 - alpha) / n + alpha * lost / n
-        new = ranks.join(given, F.col("node_id") == F.col("dst"), "left")
+        new = ranks.join(given, F.col("id") == F.col("to_id"), "left")
         last = ranks
-        ranks = cut(new.select("node_id", "leads", F.col("pagerank").alias("before"), (base + alpha * F.coalesce("given", F.lit(0.0))).alias("pagerank")))
+        ranks = cut(new.select("id", "leads", F.col("pagerank").alias("before"), (base + alpha * F.coalesce("given", F.lit(0.0))).alias("pagerank")))
         release(last)
         moved, lost = ranks.agg(F.sum(F.abs(F.col("pagerank") - F.col("before"))), F.coalesce(F.sum(F.when(~F.col("leads"), F.col("pagerank"))), F.lit(0.0))).first()
         if tolerance is not None and moved < tolerance:
             break
     release(shares)
-    return ranks.select("node_id", "pagerank")
+    return ends.join(ranks.select("id", "pagerank"), "id").select("node_id", "pagerank")
 
 
 def churn(commits: DataFrame, files: DataFrame, newest: int | None = 1000) -> DataFrame:

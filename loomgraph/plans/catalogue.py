@@ -116,12 +116,12 @@ def _walk_sql(edges: str, start: str, depth: int, reverse: bool = True) -> str:
 
 @query("calls", f"WITH RECURSIVE {_walk_sql('calls', 'func:part/7', 2)} SELECT node_id, min(depth)::INT AS depth FROM walk GROUP BY node_id")
 def callers_depth2(p: Projection) -> DataFrame:
-    return traverse.callers(p.stored("calls"), "func:part/7", 2)
+    return traverse.callers(p.call_sites, "func:part/7", 2)
 
 
 @query("nodes calls hierarchy", f"WITH RECURSIVE links AS MATERIALIZED (SELECT * FROM calls UNION ALL SELECT * FROM hierarchy), {_walk_sql('links', 'func:part/7', 3)} SELECT w.node_id, any_value(n.kind) AS kind, any_value(n.file) AS file, min(w.depth)::INT AS depth FROM walk w LEFT JOIN nodes n ON w.node_id = n.node_id GROUP BY w.node_id")
 def impact_analysis_d3(p: Projection) -> DataFrame:
-    return traverse.impact(edges_of(p.stored("calls"), p.stored("hierarchy")), p.nodes, "func:part/7", 3).select("node_id", "kind", "file", "depth")
+    return traverse.impact(edges_of(p.call_sites, p.import_sites), p.nodes, "func:part/7", 3).select("node_id", "kind", "file", "depth")
 
 
 @query(
@@ -129,17 +129,17 @@ def impact_analysis_d3(p: Projection) -> DataFrame:
     f"WITH RECURSIVE {_walk_sql('hierarchy', 'file:region/1', 3)} SELECT count(DISTINCT w.node_id) AS affected, count(DISTINCT n.file) AS affected_files, count(DISTINCT CASE WHEN n.kind = 'test' THEN w.node_id END) AS affected_tests, count(DISTINCT w.node_id) AS blast_radius FROM walk w LEFT JOIN nodes n ON w.node_id = n.node_id",
 )
 def impact_summary_dag(p: Projection) -> DataFrame:
-    return traverse.impact_summary(traverse.impact(p.hierarchy, p.nodes, "file:region/1", 3))
+    return traverse.impact_summary(traverse.impact(p.import_sites, p.nodes, "file:region/1", 3))
 
 
 @query("hierarchy", f"WITH RECURSIVE {_walk_sql('hierarchy', 'file:order/1', 2, False)} SELECT DISTINCT node_id FROM walk")
 def file_dependencies(p: Projection) -> DataFrame:
-    return traverse.file_dependencies(p.hierarchy, "file:order/1", 3)
+    return traverse.file_dependencies(p.import_sites, "file:order/1", 3)
 
 
 @query("hierarchy", f"WITH RECURSIVE {_walk_sql('hierarchy', 'file:order/1', 3, False)} SELECT DISTINCT node_id FROM walk")
 def file_dependencies_inclusive(p: Projection) -> DataFrame:
-    return traverse.file_dependencies(p.hierarchy, "file:order/1", 3, inclusive=True)
+    return traverse.file_dependencies(p.import_sites, "file:order/1", 3, inclusive=True)
 
 
 @query(
@@ -148,7 +148,7 @@ def file_dependencies_inclusive(p: Projection) -> DataFrame:
 SELECT replace(node_id, 'file:', '') AS target, 'direct' AS how, (SELECT count(*) FROM d) AS direct_count FROM d UNION ALL SELECT DISTINCT replace(node_id, 'file:', ''), 'transitive', (SELECT count(*) FROM d) FROM walk""",
 )
 def direct_and_transitive_deps(p: Projection) -> DataFrame:
-    return traverse.dependencies(p.hierarchy, "file:order/1", 2)
+    return traverse.dependencies(p.import_sites, "file:order/1", 2)
 
 
 @query("hierarchy", "SELECT DISTINCT replace(src, 'file:', '') AS file FROM hierarchy WHERE dst = 'file:nation/3' ORDER BY file LIMIT 10")

@@ -62,7 +62,7 @@ def best_ranked(p: Projection) -> DataFrame:
 
 @query("nodes calls", f"WITH RECURSIVE {_walk_sql('calls', 'func:part/7', 2)}, w AS (SELECT node_id, min(depth)::INT AS depth FROM walk GROUP BY node_id) SELECT w.node_id, w.depth, n.kind, n.name, n.file, n.line_start FROM w LEFT JOIN nodes n USING (node_id)")
 def caller_details(p: Projection) -> DataFrame:
-    return traverse.caller_details(p.stored("calls"), p.nodes, "func:part/7", 2)
+    return traverse.caller_details(p.call_sites, p.nodes, "func:part/7", 2)
 
 
 @query("hierarchy structure", "SELECT src, dst FROM hierarchy UNION ALL SELECT src, dst FROM structure WHERE kind IN ('imports', 'inherits', 'implements', 'defines')")
@@ -84,13 +84,13 @@ def resolve_inherits_strict(p: Projection) -> DataFrame:
 
 @query("nodes structure calls", f"WITH RECURSIVE links AS MATERIALIZED (SELECT * FROM calls UNION ALL SELECT * FROM structure WHERE kind = 'inherits'), {_walk_sql('links', 'func:part/7', 2)}, w AS (SELECT DISTINCT node_id FROM walk) SELECT w.node_id, coalesce(replace(n.file, 'file:', ''), '') AS file, coalesce(n.is_test, false) OR coalesce(regexp_matches(replace(n.file, 'file:', ''), '(?i)test'), false) AS is_test FROM w LEFT JOIN nodes n USING (node_id)")
 def file_impact(p: Projection) -> DataFrame:
-    return traverse.file_impact(edges_of(p.stored("calls"), p.structure), p.nodes, "func:part/7", 2)
+    return traverse.file_impact(edges_of(p.call_sites, p.structure), p.nodes, "func:part/7", 2)
 
 
 @query("nodes calls", f"WITH texts AS (SELECT node_id, name, substr(docstring, 1, 500) AS docstring FROM nodes WHERE name IS NOT NULL), {_postings_sql()}, hit AS (SELECT n.node_id, n.file FROM (SELECT DISTINCT node_id FROM postings WHERE token = 'widget') JOIN nodes n USING (node_id) ORDER BY node_id LIMIT 5), one AS (SELECT node_id FROM hit WHERE contains(coalesce(file, ''), '.py') ORDER BY node_id LIMIT 1) SELECT o.node_id AS symbol, c.src AS node_id, n.kind, n.file, 1 AS depth FROM one o JOIN (SELECT DISTINCT src, dst FROM calls) c ON c.dst = o.node_id LEFT JOIN nodes n ON n.node_id = c.src")
 def error_impact(p: Projection) -> DataFrame:
     nodes = p.nodes
-    return search.error_impact(nodes, p.stored("calls"), search.build_index(nodes), "widget is not defined", ".py", 1)
+    return search.error_impact(nodes, p.call_sites, search.build_index(nodes), "widget is not defined", ".py", 1)
 
 
 @query("hierarchy", "SELECT DISTINCT replace(dst, 'file:', '') AS file FROM hierarchy WHERE src = 'file:order/1' ORDER BY file LIMIT 10")

@@ -49,26 +49,31 @@ UNION ALL SELECT concat('class:region/', CAST(r_regionkey AS {s})), 'class', r_n
 UNION ALL SELECT concat('type:segment/', c_mktsegment), 'type', c_mktsegment, c_mktsegment, 'file:segments.py', {null}, {null}, 1, 1, {none}, {null}, {null}, {none}, {no}, {no}, {no}, {no}, {no}, {no}, {no}, true FROM (SELECT DISTINCT c_mktsegment FROM customer) g"""
 
 
-def _calls(s: str) -> str:
-    return f"""SELECT DISTINCT concat('func:part/', CAST(a.l_partkey AS {s})) AS src, concat('func:part/', CAST(b.l_partkey AS {s})) AS dst, 'calls' AS kind
-FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_partkey <> b.l_partkey"""
+def _calls(s: str, distinct: str = "DISTINCT ") -> str:
+    """Keys are made distinct as numbers, before they become names."""
+    return f"""SELECT concat('func:part/', CAST(x AS {s})) AS src, concat('func:part/', CAST(y AS {s})) AS dst, 'calls' AS kind
+FROM (SELECT {distinct}a.l_partkey AS x, b.l_partkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_partkey <> b.l_partkey) d"""
 
 
-def _hierarchy(s: str) -> str:
+def _hierarchy(s: str, distinct: str = "DISTINCT ") -> str:
     key = lambda kind, c: f"concat('file:{kind}/', CAST({c} AS {s}))"
-    return f"""SELECT DISTINCT {key("order", "l_orderkey")} AS src, {key("supplier", "l_suppkey")} AS dst, 'imports' AS kind FROM lineitem
+    return f"""SELECT {key("order", "l_orderkey")} AS src, {key("supplier", "l_suppkey")} AS dst, 'imports' AS kind FROM (SELECT {distinct}l_orderkey, l_suppkey FROM lineitem) d
 UNION ALL SELECT {key("supplier", "s_suppkey")}, {key("nation", "s_nationkey")}, 'imports' FROM supplier
 UNION ALL SELECT {key("customer", "c_custkey")}, {key("nation", "c_nationkey")}, 'imports' FROM customer
 UNION ALL SELECT {key("nation", "n_nationkey")}, {key("region", "n_regionkey")}, 'imports' FROM nation"""
 
 
+_TOUCHED = "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) d JOIN parts ON l_partkey = p_partkey"
+
+
 def _structure(s: str) -> str:
     return f"""SELECT concat('file:', path) AS src, concat('func:part/', CAST(p_partkey AS {s})) AS dst, 'defines' AS kind FROM parts
 UNION ALL SELECT concat('class:nation/', CAST(n_nationkey AS {s})), concat('class:region/', CAST(n_regionkey AS {s})), 'inherits' FROM nation
-UNION ALL SELECT DISTINCT concat('commit:', CAST(l_orderkey AS {s})), concat('file:', path), 'modifies' FROM lineitem JOIN parts ON l_partkey = p_partkey"""
+UNION ALL SELECT concat('commit:', CAST(l_orderkey AS {s})), concat('file:', path), 'modifies' FROM {_TOUCHED}"""
 
 
-_FILE_COMMITS = "SELECT DISTINCT path AS file, CAST(l_orderkey AS {s}) AS sha FROM lineitem JOIN parts ON l_partkey = p_partkey"
+_FILE_COMMITS = f"SELECT path AS file, CAST(l_orderkey AS {{s}}) AS sha FROM {_TOUCHED}"
+_COMMITS = "SELECT DISTINCT path AS file, CAST(l_orderkey AS {s}) AS sha FROM lineitem JOIN parts ON l_partkey = p_partkey"
 _COMMITS = "SELECT CAST(o_orderkey AS {s}) AS sha, concat('author', CAST(o_custkey AS {s})) AS author, o_orderdate AS ts, o_orderpriority AS message FROM orders"
 _TESTS = "SELECT concat('test:user/', CAST(user_id AS {s})) AS src, concat('func:part/', CAST(event_id % 100 AS {s})) AS dst, 'tests' AS kind, max(value) / 100.0 AS confidence FROM events WHERE event_type <> 'view' GROUP BY 1, 2"
 _COMMENTS = "SELECT CAST(conv_id AS INT) AS pr, CASE WHEN turn % 2 = 0 THEN 'inline' ELSE 'review' END AS source, concat(role, CAST(conv_id % 7 AS {s})) AS login, CASE WHEN turn % 2 = 0 THEN concat('src/', CAST(conv_id % 11 AS {s}), '.py') END AS path, text AS body, conv_id * 1000 + turn AS seq FROM conversations"
@@ -80,6 +85,8 @@ VIEWS = {
     "calls": _calls,
     "hierarchy": _hierarchy,
     "structure": _structure,
+    "call_sites": lambda s: _calls(s, ""),  # with repeats
+    "import_sites": lambda s: _hierarchy(s, ""),
     "file_commits": lambda s: _FILE_COMMITS.format(s=s),
     "commits": lambda s: _COMMITS.format(s=s),
     "tests": lambda s: _TESTS.format(s=s),
