@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import columns_free, materialise
 from .components import connected_components
 
-#: More rules than this don't belong in an expression.
+#: More rules than this don't belong in an expression; they are joined.
 MAX_RULES = 1000
 Rule = tuple[str, str, str]
 
@@ -34,9 +34,7 @@ def path(url: Column) -> Column:
 
 
 def best_rule(at: Column, below: Column, rules: Sequence[Rule]) -> Column:
-    """struct(verdict, rule) of the longest fitting rule, null if none fits. A rule fits its host and all subdomains."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules fit in one expression")
+    """struct(verdict, rule) of the longest fitting rule, the last of those that tie, null if none fits. A rule fits its host and all subdomains."""
     chain = F.lit(None).cast("struct<verdict:string,rule:string>")
     for verdict, name, start in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((at == name) | at.endswith(f".{name}")) & below.startswith(start)
@@ -44,6 +42,27 @@ def best_rule(at: Column, below: Column, rules: Sequence[Rule]) -> Column:
     return chain
 
 
+def with_rule(rows: DataFrame, url: str, rules: Sequence[Rule], name: str) -> DataFrame:
+    """``rows`` with ``name``, what :func:`best_rule` says of the address in ``url``: by an expression, or for very many rules by a join.
+
+    The join looks up each suffix of a host, once for each different address; both ways give the same.
+    """
+    at = F.col(f"`{url}`")
+    if len(rules) <= MAX_RULES:
+        return rows.withColumn(name, best_rule(host(at), path(at), rules))
+    spark = rows.sparkSession
+    listed = spark.createDataFrame([(v, h, p, len(h + p), k) for k, (v, h, p) in enumerate(rules)], "verdict string, suffix string, start string, size int, turn int")
+    parts = F.split("at", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    each = rows.select(at.alias("address")).distinct().withColumns({"at": host(F.col("address")), "below": path(F.col("address"))}).withColumn("suffix", F.explode(suffixes))
+    fits = each.join(listed, "suffix").where(F.col("below").startswith(F.col("start")))
+    said = F.struct("verdict", F.concat("suffix", "start").alias("rule"))
+    best = fits.groupBy("address").agg(F.max_by(said, F.struct("size", "turn")).alias("said"))
+    (address, found) = columns_free(rows, "address", "said")
+    best = best.select(F.col("address").alias(address), F.col("said").alias(found))
+    return rows.join(best, at == F.col(address), "left").withColumn(name, F.col(found)).drop(address, found)
+
+
 def alias_key(url: Column) -> Column:
     """An address as a node: without its fragment, scheme and host in lower case; null if it has no ``://``."""
     bare = F.regexp_replace(url, "(?s)#.*$", "")
@@ -97,12 +116,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame |
         links = given if links is None else links.unionByName(given)
     key, node, found = columns_free(pages, "alias_key", "alias_node", "alias_says")
     at = F.col(f"`{url}`")
-    ruled = best_rule(host(at), path(at), rules)
-    out = pages.withColumn("host", host(at)).withColumn("path", path(at)).withColumn(key, alias_key(at)).withColumn("rule", ruled)
+    ruled = with_rule(pages, url, rules, "rule")
+    out = ruled.withColumn("host", host(at)).withColumn("path", path(at)).withColumn(key, alias_key(at))
     label = materialise(connected_components(links), "url-components") if links is not None else None
     if label is not None:
-        name = F.col("node")
-        says = label.withColumn("says", best_rule(host(name), path(name), rules)["verdict"])
+        says = with_rule(label, "node", rules, "best").withColumn("says", F.col("best.verdict"))
         whole = says.groupBy("component").agg(F.max(F.col("says") == "allow").alias("some_allow"), F.max(F.col("says") == "block").alias("some_block"))
         verdict = F.when(F.col("some_allow"), "allow").when(F.col("some_block"), "block")
         known = label.join(whole, "component").select(F.col("node").alias(node), verdict.alias(found)).where(f"`{found}` is not null")

@@ -542,6 +542,16 @@ def test_rules_and_aliases(spark):
     assert moved.first().verdict == "block"
 
 
+def test_many_rules_are_joined(spark, data, monkeypatch):
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").withColumn("said", F.lit("clash"))
+    odd = spark.createDataFrame([(-1, None, None, ""), (-2, "no scheme", None, ""), (-3, "https://a.b.example.com/en/x?q", None, ""), (-3, "https://a.b.example.com/en/x?q", None, "")], pages.schema)
+    rules = [*queries.URL_RULES, ("block", "b.example.com", "/en/"), ("allow", "com", "/en/x")]
+    told = lambda: sorted(map(repr, urlfilter.filter_urls(pages.unionByName(odd), rules).collect()))
+    want = told()
+    monkeypatch.setattr(urlfilter, "MAX_RULES", 2)
+    assert told() == want and sum("rule='b.example.com/en/'" in r for r in want) == 2
+
+
 def test_every_element_and_relative_targets(spark):
     link, meta = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
     pages = [
