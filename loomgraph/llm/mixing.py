@@ -43,14 +43,14 @@ def _weigh(caps: DataFrame, k: int, table: DataFrame | None) -> DataFrame:
     last = F.col(LEVELS[k])
     listed = table.where(last.isNotNull()).select(*path, F.col("weight").cast("double").alias(own), F.lit(True).alias("_listed"))
     others = table.where(last.isNull()).select(*parent, F.col("weight").cast("double").alias("_others"))
+    unlisted = caps.select(*path).distinct().join(listed, path, "left_anti").groupBy(*parent).agg(F.count(F.lit(1)).alias("_missing"))
     read = caps.join(listed, path, "left")
     if parent:
-        read = read.join(others, parent, "left")
+        read = read.join(others, parent, "left").join(unlisted, parent, "left")
     else:
-        read = read.withColumn("_others", F.lit(others.agg(F.max("_others")).first()[0]).cast("double"))
-    missing = F.size(F.collect_set(F.when(F.col("_listed").isNull(), last)).over(Window.partitionBy(*parent)))
-    weight = F.when(F.col("_listed").isNull(), F.col("_others") / F.greatest(missing, F.lit(1))).otherwise(F.col(own))
-    return read.withColumn(own, F.coalesce(weight, F.lit(0.0))).drop("_listed", "_others")
+        read = read.withColumn("_others", F.lit(others.agg(F.max("_others")).first()[0]).cast("double")).withColumn("_missing", F.lit(unlisted.first()[0]))
+    weight = F.when(F.col("_listed").isNull(), F.col("_others") / F.greatest("_missing", F.lit(1))).otherwise(F.col(own))
+    return read.withColumn(own, F.coalesce(weight, F.lit(0.0))).drop("_listed", "_others", "_missing")
 
 
 def budgets(leaves: DataFrame, total: Column, epochs: int, weights: Sequence[DataFrame | None] = (None, None, None)) -> DataFrame:
@@ -66,13 +66,12 @@ def budgets(leaves: DataFrame, total: Column, epochs: int, weights: Sequence[Dat
         caps = _weigh(caps, k, table)
     open_ = (F.col("w0") > 0) & (F.col("w1") > 0) & (F.col("w2") > 0)
     caps = caps.withColumn("cap", F.when(open_, F.col("tokens").cast("double") * epochs).otherwise(0.0))
-    whole = Window.partitionBy()  # of the leaves, one row for each source
-    sums = caps.withColumn("_own", F.col("tokens")).withColumn("_caps", F.sum("cap").over(whole)).withColumn("tokens", F.sum("_own").over(whole).cast("double"))
-    caps = sums.withColumn("_root", F.least(total, F.col("_caps"))).withColumn("tokens", F.col("_own")).drop("_own", "_caps")
+    sums = caps.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double").alias("tokens"), F.coalesce(F.sum("cap"), F.lit(0.0)).alias("_caps"))
+    root = sums.select(F.least(total, "_caps")).first()[0]
     level, parent = None, []
     for k in range(len(LEVELS)):
         path = [*parent, LEVELS[k]]
-        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max(f"w{k}").alias("weight"), F.max("_root").alias("given"))
+        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max(f"w{k}").alias("weight"), F.lit(root).alias("given"))
         nodes = nodes if level is None else nodes.drop("given").join(level, parent)
         level = water_fill(nodes, parent, "given", "cap", "weight", "share").select(*path, F.col("share").alias("given"))
         parent = path
@@ -93,7 +92,7 @@ def mix(documents: DataFrame, tokens: Column, domain: Column, fraction: float =
     name = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     read = documents.select(F.col(f"`{id_column}`").alias("doc_id"), name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"), tokens.cast("long").alias("tokens"))
     counted = materialise(read.where("tokens > 0"), "mix-tokens")
-    leaves = counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
+    leaves = materialise(counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
     total = F.lit(float(fraction)) * F.col("tokens")
     budget = materialise(budgets(leaves, total, epochs, weights), "mix-budgets")
     turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
